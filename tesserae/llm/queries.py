@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import imatch, mixing, pii
+from . import imatch, mixing, ngramjoin, pii
 
 QUERIES = {
+    "op4_ngram_jaccard": ngramjoin.query,
     "op5_imatch": imatch.query,
     "op7_pii": pii.query,
     "op10_mixing": mixing.query,
 }
 
-ORACLES = {"op10_mixing": mixing.ORACLE}
+ORACLES = {"op4_ngram_jaccard": ngramjoin.ORACLE, "op10_mixing": mixing.ORACLE}
