@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import imatch, mixing, ngramjoin, pii
+from . import imatch, mixing, ngramjoin, pii, suffixdedup, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op4_ngram_jaccard": ngramjoin.query,
     "op5_imatch": imatch.query,
     "op7_pii": pii.query,
+    "op8_suffix_dedup": suffixdedup.query,
     "op10_mixing": mixing.query,
 }
 
