@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import imatch, mixing, ngramjoin, pii, suffixdedup, toxicity
+from . import decontamination, imatch, mixing, ngramjoin, pii, suffixdedup, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
     "op4_ngram_jaccard": ngramjoin.query,
     "op5_imatch": imatch.query,
+    "op6_decontamination": decontamination.query,
     "op7_pii": pii.query,
     "op8_suffix_dedup": suffixdedup.query,
     "op10_mixing": mixing.query,
