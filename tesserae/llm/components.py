@@ -35,6 +35,32 @@ def _mark(edges: DataFrame) -> tuple:
     )
 
 
+def cluster(meet: DataFrame, verify, alike=None) -> DataFrame:
+    """Memberships (key, node, centre) -> (node, component) of verified links.
+
+    Every node is first verified against the centre that it shares most keys
+    with.  Nodes that then share a key but no component are verified pair by
+    pair.  So two nodes that share a key and are similar end up together, and
+    the pairs inside a group of copies are never all made.  ``verify`` keeps
+    the similar ones of pairs (u, v); ``alike`` drops pairs that can't be.
+    """
+    alike = alike or (lambda pairs: pairs)
+    best = meet.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
+    best = best.groupBy("node").agg(F.max(F.struct("shared", "centre"))["centre"].alias("centre"))
+    first = scratch.table(best.select(F.col("centre").alias("u"), F.col("node").alias("v")), "first")
+    links = verify(alike(first))
+    part = scratch.table(components(links), "parts")
+    placed = meet.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    placed = scratch.table(placed.join(split.select("key"), "key"), "placed")
+    a, b = placed.alias("a"), placed.alias("b")
+    across = a.join(b, F.expr("a.key = b.key AND a.part < b.part"))
+    across = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    known = first.unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    across = scratch.table(alike(across.join(known, ["u", "v"], "left_anti")), "across")
+    return scratch.table(components(links.unionByName(verify(across))), "parts")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) of longs -> (node, component); component is the least node.
 

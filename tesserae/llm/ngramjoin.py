@@ -331,23 +331,7 @@ def join(docs: DataFrame) -> DataFrame:
     meet = scratch.table(indexed.groupBy("bucket").applyInArrow(_meet(kept, cut), "key long, node long, centre long"), "meet")
 
     sized = nodes.select("node", "n")
-    best = meet.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
-    best = best.groupBy("node").agg(F.max(F.struct("shared", "centre"))["centre"].alias("centre"))
-    first = scratch.table(best.select(F.col("centre").alias("u"), F.col("node").alias("v")), "first")
-    links = verify(_alike(first, sized), nodes, docs)
-    part = scratch.table(components.components(links), "parts")
-
-    # Whatever shares a key across components is compared pair by pair.
-    placed = meet.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    placed = scratch.table(placed.join(split.select("key"), "key").join(sized, "node"), "placed")
-    a, b = placed.alias("a"), placed.alias("b")
-    across = a.join(b, F.expr(f"a.key = b.key AND a.part < b.part AND 100 * a.n >= {LIKE} * b.n AND 100 * b.n >= {LIKE} * a.n"))
-    across = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    known = first.unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    across = scratch.table(across.join(known, ["u", "v"], "left_anti"), "across")
-    links = links.unionByName(verify(across, nodes, docs))
-    part = scratch.table(components.components(links), "parts")
+    part = components.cluster(meet, lambda pairs: verify(pairs, nodes, docs), lambda pairs: _alike(pairs, sized))
 
     # Names: the least id of a component.  Nodes of one document alone need none.
     named = nodes.join(part, "node", "left").where("component IS NOT NULL OR copies > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, imatch, mixing, ngramjoin, pii, suffixdedup, toxicity
+from . import decontamination, imatch, linededup, mixing, ngramjoin, pii, suffixdedup, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontamination": decontamination.query,
     "op7_pii": pii.query,
     "op8_suffix_dedup": suffixdedup.query,
+    "op9_line_dedup": linededup.query,
     "op10_mixing": mixing.query,
 }
 
