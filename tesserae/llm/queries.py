@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, imatch, linededup, mixing, ngramjoin, pii, suffixdedup, toxicity
+from . import decontamination, imatch, langid, licenses, linededup, mixing, ngramjoin, pii, suffixdedup, toxicity
 
 QUERIES = {
+    "op1_langid": langid.query,
     "op2_toxicity": toxicity.query,
+    "op3_licenses": licenses.query,
     "op4_ngram_jaccard": ngramjoin.query,
     "op5_imatch": imatch.query,
     "op6_decontamination": decontamination.query,
