@@ -1,0 +1,43 @@
+"""Point adjustments: lists of three channels in 0..1 to such lists."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .blend import _unit, lum
+
+
+def invert(c):
+    return [1 - x for x in c]
+
+
+def posterize(c, levels: int):
+    return [F.least(F.floor(x * levels), F.lit(levels - 1)) / (levels - 1) for x in c]
+
+
+def threshold(c, level: int):
+    luma = 0.299 * c[0] + 0.587 * c[1] + 0.114 * c[2]
+    return [F.when(luma >= level / 255, 1.0).otherwise(0.0)] * 3
+
+
+def levels(c, in_black=0.0, in_white=1.0, gamma=1.0, out_black=0.0, out_white=1.0):
+    def one(x: Column) -> Column:
+        t = _unit((x - in_black) / (in_white - in_black))
+        return out_black + (out_white - out_black) * (t if gamma == 1 else F.pow(t, 1 / gamma))
+
+    return [one(x) for x in c]
+
+
+def channel_mixer(c, rows):
+    """Rows of three weights and a constant, in percent."""
+    return [_unit((r[0] * c[0] + r[1] * c[1] + r[2] * c[2] + r[3]) / 100) for r in rows]
+
+
+def photo_filter(c, colour, density: float):
+    return [x * (1 - density) + x * k * density for x, k in zip(c, colour)]
+
+
+def gradient_map(c, dark, light):
+    t = lum(c)
+    return [a + (b - a) * t for a, b in zip(dark, light)]
