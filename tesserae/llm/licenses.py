@@ -127,7 +127,9 @@ def align(template, text, shift: int, band: int):
     c = 0
     while i < n and c < width:
         j = i + shift - band + c
-        if 0 <= j < m and template[i] == text[j]:
+        if not pairs and best[i, c + 1] == best[i, c]:
+            c += 1  # the match begins as late as it can
+        elif 0 <= j < m and template[i] == text[j]:
             pairs.append((i, j))
             i += 1
         elif best[i, c + 1] >= (best[i + 1, c - 1] if c else 0):
