@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ONE, ZERO = F.lit, F.lit
-
 
 def _screen(b, s):
     return b + s - b * s

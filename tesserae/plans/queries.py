@@ -136,7 +136,16 @@ _pixel_query(
     ", g AS (SELECT img, x, y, floor(0.3::DOUBLE * r + 0.59::DOUBLE * g + 0.11::DOUBLE * b + 0.5)::INT AS l FROM px)",
 )
 
-_OLD, _NEW = raster.rectangle(4, 4, 30, 20), raster.rectangle(20, 10, 30, 30)
+
+
+def _old():
+    return raster.rectangle(4, 4, 30, 20)
+
+
+def _new():
+    return raster.rectangle(20, 10, 30, 30)
+
+
 _OLD_SQL = "CASE WHEN x BETWEEN 4 AND 33 AND y BETWEEN 4 AND 23 THEN 255 ELSE 0 END"
 _NEW_SQL = "CASE WHEN x BETWEEN 20 AND 49 AND y BETWEEN 10 AND 39 THEN 255 ELSE 0 END"
 for _mode, _sql in {
@@ -144,11 +153,11 @@ for _mode, _sql in {
     "subtract": f"({_OLD_SQL}) * (255 - ({_NEW_SQL})) // 255",
 }.items():
     _pixel_query(
-        f"select_{_mode}", lambda px, mode=_mode: px.select("img", "x", "y", raster.combine(mode, _OLD, _NEW).cast("int").alias("cover")),
+        f"select_{_mode}", lambda px, mode=_mode: px.select("img", "x", "y", raster.combine(mode, _old(), _new()).cast("int").alias("cover")),
         f"SELECT img, x, y, ({_sql})::INT AS cover FROM px",
     )
 _pixel_query(
-    "layer_fill_selection", lambda px: px.select("img", "x", "y", *[raster.masked(F.col(c), F.lit(v), _NEW).alias(c) for c, v in zip(RGB, (250, 20, 90))]),
+    "layer_fill_selection", lambda px: px.select("img", "x", "y", *[raster.masked(F.col(c), F.lit(v), _new()).alias(c) for c, v in zip(RGB, (250, 20, 90))]),
     "SELECT img, x, y, " + ", ".join(f"({c} * (255 - ({_NEW_SQL})) + {v} * ({_NEW_SQL}) + 127) // 255 AS {c}" for c, v in zip(RGB, (250, 20, 90))) + " FROM px",
 )
 
@@ -181,7 +190,7 @@ def composite(px: DataFrame) -> DataFrame:
     both = _two(px)
     base = adjust.levels(raster.unit(both), 0.1, 0.9)
     over = blend.blend("multiply", base, raster.unit(both, "s_"))
-    k = F.when(_NEW > 0, 0.5).otherwise(0.0)
+    k = F.when(_new() > 0, 0.5).otherwise(0.0)
     return _quantised(both, [b * (1 - k) + o * k for b, o in zip(base, over)])
 
 
