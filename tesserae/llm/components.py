@@ -35,30 +35,72 @@ def _mark(edges: DataFrame) -> tuple:
     )
 
 
-def cluster(meet: DataFrame, verify, alike=None) -> DataFrame:
+#: Rounds of new centres at most, and pairs across components for each membership from which another round is worth it.
+ROUNDS, DENSE = 16, 2
+#: One link in so many pairs keeps the rounds going.
+LEAST = 20
+
+
+def _best(meet: DataFrame) -> DataFrame:
+    """For each node the centre that it shares most keys with, as pairs (u, v) of centre and node."""
+    best = meet.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
+    best = best.groupBy("node").agg(F.max(F.struct("shared", "centre"))["centre"].alias("centre"))
+    return best.select(F.col("centre").alias("u"), F.col("node").alias("v"))
+
+
+def _once(meet: DataFrame) -> DataFrame:
+    """Of keys that the same nodes share, one: the others, as those of a passage's further words, pair nobody else."""
+    node = [F.xxhash64("node", F.lit(k)) for k in range(2)]
+    sets = meet.groupBy("key").agg(F.bit_xor(node[0]).alias("x"), F.bit_xor(node[1]).alias("y"), F.count("*").alias("n"))
+    sets = sets.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key")
+    return meet.join(sets, "key").select("key", "node", "centre")
+
+
+def cluster(meet: DataFrame, verify, alike=None, across_of=None) -> DataFrame:
     """Memberships (key, node, centre) -> (node, component) of verified links.
 
-    Every node is first verified against the centre that it shares most keys
-    with.  Nodes that then share a key but no component are verified pair by
-    pair.  So two nodes that share a key and are similar end up together, and
-    the pairs inside a group of copies are never all made.  ``verify`` keeps
-    the similar ones of pairs (u, v); ``alike`` drops pairs that can't be.
+    Every node is verified against one centre, the one that it shares most
+    keys with.  While many nodes share a key but no component, each key draws
+    a new centre, which every node outside its component is verified against;
+    so a group of copies grows together in a few rounds, each as large as the
+    memberships.  What then still shares a key across components is verified
+    pair by pair: two nodes that share a key and are similar always end up
+    together.  ``verify`` keeps the similar ones of pairs (u, v); ``alike``
+    drops pairs that can't be; ``across_of`` finds the last links from rows
+    (key, node, part) in place of a join.
     """
     alike = alike or (lambda pairs: pairs)
-    best = meet.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
-    best = best.groupBy("node").agg(F.max(F.struct("shared", "centre"))["centre"].alias("centre"))
-    first = scratch.table(best.select(F.col("centre").alias("u"), F.col("node").alias("v")), "first")
-    links = verify(alike(first))
-    part = scratch.table(components(links), "parts")
-    placed = meet.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    placed = scratch.table(placed.join(split.select("key"), "key"), "placed")
-    a, b = placed.alias("a"), placed.alias("b")
-    across = a.join(b, F.expr("a.key = b.key AND a.part < b.part"))
-    across = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    known = first.unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    across = scratch.table(alike(across.join(known, ["u", "v"], "left_anti")), "across")
-    return scratch.table(components(links.unionByName(verify(across))), "parts")
+    meet = scratch.table(_once(meet), "meet")
+    known = scratch.table(_best(meet), "pairs")
+    links, few = verify(alike(known)), False
+    for turn in range(ROUNDS + 1):
+        part = scratch.table(components(links), "parts")
+        placed = meet.select("key", "node").join(part, "node", "left")
+        placed = placed.select("key", "node", F.coalesce("component", "node").alias("part"))
+        split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+        meet = scratch.table(placed.join(split.select("key"), "key"), "meet")
+        sizes = meet.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
+        sizes = sizes.agg(F.sum("n").cast("double").alias("all"), F.sum(F.col("n") * F.col("n")).cast("double").alias("own"))
+        rows, across = sizes.agg(F.coalesce(F.sum("all"), F.lit(0.0)), F.coalesce(F.sum((F.col("all") ** 2 - F.col("own")) / 2), F.lit(0.0))).first()
+        if across <= DENSE * rows or few or turn == ROUNDS:
+            break
+        drawn = meet.withColumn("draw", F.xxhash64("node", F.lit(turn)))
+        least = drawn.groupBy("key").agg(F.min("draw").alias("draw"))
+        centre = drawn.join(least, ["key", "draw"]).select("key", F.col("node").alias("centre"), F.col("part").alias("own"))
+        pairs = _best(meet.join(centre, "key").where("part <> own"))
+        pairs = scratch.table(pairs.join(known, ["u", "v"], "left_anti"), "pairs")
+        known = known.unionByName(pairs)
+        fresh = verify(alike(pairs))
+        links = links.unionByName(fresh)
+        few = fresh.count() < pairs.count() / LEAST
+    if across_of:
+        return scratch.table(components(links.unionByName(across_of(meet))), "parts")
+    a, b = meet.alias("a"), meet.alias("b")
+    pairs = a.join(b, F.expr("a.key = b.key AND a.part < b.part"))
+    pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    known = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    pairs = scratch.table(alike(pairs.join(known, ["u", "v"], "left_anti")), "across")
+    return scratch.table(components(links.unionByName(verify(pairs))), "parts")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,23 +1,26 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-Texts with equal shingle sets are one node.  Shingles are classed by their
-exact document frequency.  Under the order (rare first, then hash):
-
-* A node with more rare shingles than it may miss (``m = n - ceil(t * n)``)
-  indexes its first ``m + 1`` rare shingles as single tokens.
+Texts with equal shingle sets are one node.  A shingle's document frequency is
+counted over all nodes and sent back to the nodes that hold it, so each can
+order its shingles by (frequency, hash).  With ``m = n - ceil(t * n)`` the
+shingles that a similar set may lack:
+
+* A node with more than m shingles of its own alone has no similar one.
+* A node whose first m + 1 shingles are all rare indexes those that others
+  have too as single tokens.
 * Any other node extends its prefix to all shingles: it indexes its rare ones
-  as single tokens and combines the shingles into bins of about two, each
-  bin's combination being one key.  Two similar sets of at most U shingles
-  differ in at most ``2 * U * (1 - t) / (1 + t)`` shingles; there are twice
-  as many bins and one more, so some filled bin is equal in both.  Bins are
-  made for a node's size class and the next, so similar sizes meet.
-* A node of up to ``SMALL`` shingles that has too few rare ones indexes its
-  first ``m + 1`` in the order, whichever their class.
-
-Nodes that share a key are candidates.  Each is first verified against one
-centre; what is then in different components but shares a key is verified
-pair by pair, so no link between components is missed and the pairs inside a
-group of copies are never all made.
+  as single tokens and combines those that others have too into bins of about
+  two, each bin's combination being one key.  Two similar sets of at most U
+  shingles differ in at most ``d = 2 * U * (1 - t) / (1 + t)`` shingles.  Of
+  twice as many bins and two more, the first d + 1 filled ones are indexed, and
+  some bin is equal in both.  Bins are made for a node's size class and the
+  next, so similar sizes meet.
+* Of those, a node of up to ``SMALL`` shingles also indexes its first m + 1 in
+  the order, whatever their frequency.
+
+Nodes that share a key are candidates, clustered as ``components.cluster``
+says: no link between components is missed, and the pairs inside a group of
+copies are never all made.
 """
 
 from __future__ import annotations
@@ -39,18 +42,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORDS = 5
 #: Similarity in hundredths.
 LIKE = 80
-#: Documents a shingle is in at most to count as rare; doubled until the frequent ones are at most FREQUENT.
+#: Nodes that a shingle is in at most to count as rare.
 RARE = 24
-FREQUENT = 1 << 20
 #: Sizes up to which single frequent shingles are indexed, and from which combinations are.
 SMALL, LARGE = 30, 24
 #: Shingles or keys that one task sorts at once, and that a map task gathers before it sends them.
 TASK_ROWS = 2_000_000
-GATHER = 2_000_000
+GATHER = 1_000_000
 #: Ids of candidates that are broadcast at most (8 bytes each); beyond it, the join is shuffled.
 BROADCAST_ROWS = 500_000
 #: Texts verified against one copy of a centre's text, and texts in one task's batch.
 PER_CENTRE, BATCH = 500, 2000
+#: Nodes in a block where pairs are verified one by one.
+BLOCK = 400
 NO_ID = (1 << 63) - 1
 
 
@@ -99,141 +103,154 @@ def _sent(name_blobs):
         )
 
 
-def _counter(bits: int, cut: int):
-    """Sends each bucket the sorted shingles of many documents with their document counts."""
-    width = -(-bits // 8)
-
-    def flush(parts):
-        t = np.sort(np.concatenate(parts) >> np.uint64(64 - bits))
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        count, t = np.diff(np.append(first, len(t))), t[first]
-        bucket = (t >> np.uint64(bits - cut)).astype(np.int64)
-        edges = np.searchsorted(bucket, np.arange((1 << cut) + 1))
-        out = []
-        for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
-            if i < j:
-                gaps = np.diff(t[i:j], prepend=np.uint64(b) << np.uint64(bits - cut))
-                out.append((b, tk.pack(tk.planes(gaps, width), tk.planes(count[i:j], 4))))
-        yield from _sent(out)
+def _parcels(nodes, sizes, values, bits: int, cut: int):
+    """Lists of values below 2**bits of many nodes -> (bucket, blob) for each of 2**cut ranges of the values."""
+    width = -(-(bits - cut) // 8)
+    row = np.repeat(np.arange(len(nodes)), [len(v) for v in values])
+    values = np.concatenate(values)
+    bucket = (values >> np.uint64(bits - cut)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    values, row = values[order], row[order]
+    edges = np.searchsorted(bucket[order], np.arange((1 << cut) + 1))
+    nodes, sizes = np.asarray(nodes, np.uint64), np.asarray(sizes, np.int64)
+    for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+        if i < j:
+            first = np.flatnonzero(np.diff(row[i:j], prepend=-1))
+            own = row[i:j][first]
+            runs = np.diff(np.append(first, j - i))
+            low = values[i:j] & np.uint64((1 << (bits - cut)) - 1)
+            yield b, tk.pack(nodes[own].tobytes(), tk.planes(sizes[own], 4), tk.planes(runs, 4), tk.planes(low, width))
+
+
+def _opened(b: int, blobs, bits: int, cut: int):
+    """A bucket's blobs -> values, and the node and size that each belongs to."""
+    width = -(-(bits - cut) // 8)
+    values, nodes, sizes = [], [], []
+    for blob in blobs:
+        node, size, runs, low = tk.unpack(blob.as_py())
+        node = np.frombuffer(node, "<u8")
+        runs = tk.from_planes(runs, len(node), 4).astype(np.int64)
+        nodes.append(np.repeat(node, runs))
+        sizes.append(np.repeat(tk.from_planes(size, len(node), 4).astype(np.int64), runs))
+        values.append(tk.from_planes(low, int(runs.sum()), width))
+    return np.concatenate(values) + (np.uint64(b) << np.uint64(bits - cut)), np.concatenate(nodes), np.concatenate(sizes)
+
+
+def _shingled(bits: int, cut: int):
+    """Sends each bucket of shingles the nodes that have them; equal nodes in one gathering send theirs once."""
 
     def run(batches):
-        parts, held = [], 0
+        seen, nodes, sizes, values, held = set(), [], [], [], 0
         for batch in batches:
             for found in tk.shingle_sets(batch.column(1)):
-                parts.append(found)
+                if not len(found) or (node := node_of(found)) in seen:
+                    continue
+                seen.add(node)
+                nodes.append(node)
+                sizes.append(len(found))
+                values.append(found >> np.uint64(64 - bits))
                 held += len(found)
                 if held >= GATHER:
-                    yield from flush(parts)
-                    parts, held = [], 0
+                    yield from _sent(list(_parcels(nodes, sizes, values, bits, cut)))
+                    seen, nodes, sizes, values, held = set(), [], [], [], 0
         if held:
-            yield from flush(parts)
+            yield from _sent(list(_parcels(nodes, sizes, values, bits, cut)))
 
     return run
 
 
-def _frequent(bits: int, cut: int, least: int):
-    """A bucket's shingles in more than ``least`` documents."""
+def _counted(bits: int, cut: int):
+    """A bucket's shingles that several nodes have, with their count, sent back to each bucket of nodes."""
     width = -(-bits // 8)
 
     def run(key, table):
-        b, tokens, counts = key[0].as_py(), [], []
-        for blob in table.column("blob"):
-            gaps, count = tk.unpack(blob.as_py())
-            n = len(count) // 4
-            tokens.append(np.cumsum(tk.from_planes(gaps, n, width)) + (np.uint64(b) << np.uint64(bits - cut)))
-            counts.append(tk.from_planes(count, n, 4))
-        t, c = np.concatenate(tokens), np.concatenate(counts).astype(np.int64)
-        order = np.argsort(t, kind="stable")
-        t, c = t[order], c[order]
+        t, v, n = _opened(key[0].as_py(), table.column("blob"), bits, cut)
+        order = np.lexsort((v, t))
+        t, v, n = t[order], v[order], n[order].astype(np.int32)
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (v[1:] != v[:-1])])
+        t, v, n = t[new], v[new], n[new]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        c = np.add.reduceat(c, first)
-        keep = c > least
-        return pa.table({"token": tk.signed(t[first][keep]), "df": c[keep]})
+        df = np.diff(np.append(first, len(t)))
+        df = np.repeat(df, df)
+        keep = df > 1
+        t, v, n, df = t[keep], v[keep], n[keep], df[keep]
+        del new, order, keep
+        order = np.argsort(v, kind="stable")
+        t, v, n, df = t[order], v[order], n[order], df[order]
+        bucket = (v >> np.uint64(64 - cut)).astype(np.int64) if cut else np.zeros(len(v), np.int64)
+        edges = np.searchsorted(bucket, np.arange((1 << cut) + 1))
+        out = []
+        for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+            if i < j:
+                at = np.flatnonzero(np.concatenate([[True], v[i + 1 : j] != v[i : j - 1]]))
+                runs = np.diff(np.append(at, j - i))
+                out.append((b, tk.pack(v[i:j][at].tobytes(), tk.planes(n[i:j][at], 4), tk.planes(runs, 4), tk.planes(t[i:j], width), tk.planes(df[i:j], 5))))
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
 
-def keys_of(found, common):
-    """A node's index keys; ``common`` marks its frequent shingles."""
-    n = len(found)
-    m = _misses(n)
-    rare = found[~common]
-    if len(rare) > m:
-        return rare[: m + 1]
-    keys = [rare]
-    if n <= SMALL:
-        keys.append(found[common][: m + 1 - len(rare)])
+def keys_of(n: int, tokens, df):
+    """A node's index keys from the shingles that others have too, by (frequency, hash), and their frequencies."""
+    need = _misses(n) + 1 - (n - len(tokens))
+    if need <= 0:
+        return tokens[:0]
+    rare = int(np.searchsorted(df, RARE, "right"))
+    if rare >= need:
+        return tk.mix(tokens[:need])
+    keys = [tk.mix(tokens[: need if n <= SMALL else rare])]
     if n > LARGE:
         own = int(np.searchsorted(_BOUNDS, n))
-        mixed = tk.mix(found ^ np.uint64(0xE7037ED1A0B428DB))
+        mixed = tk.mix(tokens ^ np.uint64(0xE7037ED1A0B428DB))
         for size_class in (own, own + 1):
-            bins = _bins(size_class)
-            which = (mixed % np.uint64(bins)).astype(np.int64)
+            which = (mixed % np.uint64(_bins(size_class))).astype(np.int64)
             order = np.argsort(which, kind="stable")
             first = np.flatnonzero(np.diff(which[order], prepend=-1))
-            sums = np.add.reduceat(mixed[order], first)
+            # As many filled bins as may differ, and one: a similar set's first ones hold an equal bin among them.
+            sums = np.add.reduceat(mixed[order], first)[: _bins(size_class) // 2]
+            first = first[: len(sums)]
             label = which[order][first].astype(np.uint64) + (np.uint64(size_class) << np.uint64(40))
             keys.append(tk.mix(sums ^ tk.mix(label)))
     return np.concatenate(keys)
 
 
-def _indexer(tokens, bits: int, kept: int, cut: int):
-    """Sends each bucket the keys of many nodes; equal nodes in one gathering send theirs once."""
-    width = -(-(kept - cut) // 8)
-
-    def flush(nodes, keys):
-        count = [len(k) for k in keys]
-        keys, row = np.concatenate(keys) >> np.uint64(64 - kept), np.repeat(np.arange(len(nodes)), count)
-        bucket = (keys >> np.uint64(kept - cut)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        keys, row = keys[order], row[order]
-        nodes, out = np.array(nodes, np.uint64), []
-        edges = np.searchsorted(bucket[order], np.arange((1 << cut) + 1))
-        for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
-            if i < j:
-                first = np.flatnonzero(np.diff(row[i:j], prepend=-1))
-                runs = np.diff(np.append(first, j - i))
-                low = keys[i:j] & np.uint64((1 << (kept - cut)) - 1)
-                out.append((b, tk.pack(nodes[row[i:j][first]].tobytes(), tk.planes(runs, 4), tk.planes(low, width))))
-        yield from _sent(out)
+def _indexed(bits: int, kept: int, cut: int):
+    """A bucket of nodes with their shared shingles -> their keys, sent to each bucket of keys."""
+    width = -(-bits // 8)
 
-    def run(batches):
-        frequent = tokens.value
-        seen, nodes, keys, held = set(), [], [], 0
-        for batch in batches:
-            for found in tk.shingle_sets(batch.column(1)):
-                if not len(found) or (node := node_of(found)) in seen:
-                    continue
-                short = found >> np.uint64(64 - bits)
-                at = np.searchsorted(frequent, short)
-                common = np.zeros(len(found), bool)
-                common[at < len(frequent)] = frequent[at[at < len(frequent)]] == short[at < len(frequent)]
-                seen.add(node)
-                nodes.append(node)
-                keys.append(keys_of(found, common))
-                held += len(keys[-1])
-                if held >= GATHER // 4:
-                    yield from flush(nodes, keys)
-                    seen, nodes, keys, held = set(), [], [], 0
-        if held:
-            yield from flush(nodes, keys)
+    def run(key, table):
+        tokens, nodes, sizes, counts = [], [], [], []
+        for blob in table.column("blob"):
+            node, size, runs, low, df = tk.unpack(blob.as_py())
+            node = np.frombuffer(node, "<u8")
+            runs = tk.from_planes(runs, len(node), 4).astype(np.int64)
+            total = int(runs.sum())
+            nodes.append(np.repeat(node, runs))
+            sizes.append(np.repeat(tk.from_planes(size, len(node), 4).astype(np.int64), runs))
+            tokens.append(tk.from_planes(low, total, width))
+            counts.append(tk.from_planes(df, total, 5).astype(np.int64))
+        t, v, n, df = (np.concatenate(x) for x in (tokens, nodes, sizes, counts))
+        order = np.lexsort((t, df, v))
+        t, v, n, df = t[order], v[order], n[order], df[order]
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        own, sizes, keys = [], [], []
+        for i, j in zip(first, np.append(first[1:], len(v))):
+            found = keys_of(int(n[i]), t[i:j], df[i:j])
+            if len(found):
+                own.append(v[i])
+                sizes.append(n[i])
+                keys.append(found >> np.uint64(64 - kept))
+        out = list(_parcels(own, sizes, keys, kept, cut)) if own else []
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
 
 def _meet(kept: int, cut: int):
-    """A bucket's keys that several nodes share: (key, node, centre), the centre being the least of them."""
-    width = -(-(kept - cut) // 8)
-
+    """A bucket's keys that several nodes share: (key, node, centre), the centre being the node whose keys are most shared."""
     def run(key, table):
-        b, all_keys, all_nodes = key[0].as_py(), [], []
-        for blob in table.column("blob"):
-            nodes, runs, low = tk.unpack(blob.as_py())
-            nodes = np.frombuffer(nodes, "<u8")
-            runs = tk.from_planes(runs, len(nodes), 4).astype(np.int64)
-            all_nodes.append(np.repeat(nodes, runs))
-            all_keys.append(tk.from_planes(low, int(runs.sum()), width))
-        k, v = np.concatenate(all_keys), np.concatenate(all_nodes).view(np.int64)
+        k, v, _ = _opened(key[0].as_py(), table.column("blob"), kept, cut)
+        v = v.view(np.int64)
         order = np.lexsort((v, k))
         k, v = k[order], v[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
@@ -241,8 +258,12 @@ def _meet(kept: int, cut: int):
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
         size = np.diff(np.append(first, len(k)))
         keep = np.repeat(size > 1, size)
-        centre = np.repeat(v[first], size)
-        k = (k + (np.uint64(b) << np.uint64(kept - cut))).view(np.int64)
+        _, own = np.unique(v, return_inverse=True)
+        shared = np.bincount(own, np.repeat(size - 1, size))[own]
+        # Rows are in key order: the first of each key when its rows go by how shared they are.
+        top = np.lexsort((v, -shared, np.repeat(np.arange(len(first)), size)))[first]
+        centre = np.repeat(v[top], size)
+        k = k.view(np.int64)
         return pa.table({"key": k[keep], "node": v[keep], "centre": centre[keep]})
 
     return run
@@ -297,6 +318,84 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return scratch.table(done.distinct(), "links")
 
 
+def _crossing(blocks: int):
+    """A bucket's keys (key, node, part) -> distinct pairs of nodes of different parts that share one, for each pair of blocks of nodes."""
+
+    def flush(codes, names):
+        codes = np.unique(np.concatenate(codes))
+        pairs = names[np.stack([codes // len(names), codes % len(names)], 1)]
+        block = (tk.mix(pairs.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        swap = block[:, 0] > block[:, 1]
+        pairs[swap], block[swap] = pairs[swap][:, ::-1], block[swap][:, ::-1]
+        name = block[:, 0] * blocks + block[:, 1]
+        order = np.argsort(name, kind="stable")
+        edges = np.flatnonzero(np.diff(name[order], prepend=-1))
+        for i, j in zip(edges, np.append(edges[1:], len(order))):
+            yield int(name[order[i]]), pairs[order[i:j]].astype("<i8").tobytes()
+
+    def run(key, table):
+        k, node, part = (np.array(table.column(c)) for c in ("key", "node", "part"))
+        names, node = np.unique(node, return_inverse=True)
+        order = np.lexsort((part, k))
+        k, node, part = k[order], node[order], part[order]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
+        out, codes, held = [], [], 0
+        for i, j in zip(edges[:-1], edges[1:]):
+            own = node[i:j]
+            # Each part's nodes against those of the parts after it.
+            first = np.flatnonzero(np.concatenate([[True], part[i + 1 : j] != part[i : j - 1]]))
+            for a, b in zip(first, np.append(first[1:], j - i)):
+                if b < j - i:
+                    x, y = own[a:b][:, None], own[b:][None, :]
+                    codes.append((np.minimum(x, y) * len(names) + np.maximum(x, y)).reshape(-1))
+                    held += len(codes[-1])
+                if held > GATHER:
+                    out += flush(codes, names)
+                    codes, held = [], 0
+        if held:
+            out += flush(codes, names)
+        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "pairs": pa.array([x for _, x in out], pa.binary())})
+
+    return run
+
+
+def _nodes_in(key, table):
+    """The nodes of a pair of blocks that have a pair."""
+    nodes = np.unique(np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("pairs")]))
+    return pa.table({"block": pa.array(np.full(len(nodes), key[0].as_py())), "node": nodes})
+
+
+def _compared(key, left, right):
+    """Pairs of two blocks and the texts of their nodes -> the similar pairs."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    pairs = np.unique(np.concatenate([np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in left.column("pairs")]), axis=0)
+    sets = {}
+    for found in tk.shingle_sets(right.column("text")):
+        sets[int(np.int64(node_of(found).view(np.int64)))] = found
+    hits = [(u, v) for u, v in pairs.tolist() if u in sets and v in sets and similar(sets[u], sets[v])]
+    return pa.table({"u": pa.array([u for u, _ in hits], pa.int64()), "v": pa.array([v for _, v in hits], pa.int64())})
+
+
+def across(meet: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between nodes of different parts that share a key.
+
+    Nodes are dealt to blocks; a text goes once to each pair of blocks in
+    which its node has a pair, not once to each pair.
+    """
+    rows, n = meet.agg(F.count("*"), F.approx_count_distinct("node")).first()
+    blocks = max(1, n // BLOCK)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, rows // GATHER)))
+    pairs = meet.groupBy(bucket.alias("bucket")).applyInArrow(_crossing(blocks), "block long, pairs binary")
+    pairs = scratch.table(pairs, "across")
+    want = pairs.groupBy("block").applyInArrow(_nodes_in, "block long, node long").join(nodes.select("node", "id"), "node")
+    want = scratch.table(want.select("block", "id"), "wanted")
+    side = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
+    texts = docs.join(side, "id").select("block", "text")
+    links = pairs.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_compared, "u long, v long")
+    return scratch.table(links.distinct(), "links")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document.
 
@@ -307,7 +406,6 @@ def join(docs: DataFrame) -> DataFrame:
     others, or null; an empty table gives no rows; columns other than doc_id
     and text are left out.
     """
-    spark = docs.sparkSession
     docs = scratch.columns(docs, "doc_id", "text")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     sig = scratch.table(docs.mapInArrow(_signatures, "id long, n long, node long"), "signatures")
@@ -317,21 +415,17 @@ def join(docs: DataFrame) -> DataFrame:
     total, most = sig.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 
     bits, cut = min(64, _power(total) + 12), _power(total / TASK_ROWS)
-    counted = docs.mapInArrow(_counter(bits, cut), "bucket int, blob binary")
-    common = scratch.table(counted.groupBy("bucket").applyInArrow(_frequent(bits, cut, RARE), "token long, df long"), "frequent")
-    least = RARE
-    while common.where(F.col("df") > least).count() > FREQUENT:
-        least *= 2
-    tokens = common.where(F.col("df") > least).select("token").toArrow()["token"].to_numpy().astype(np.int64)
-    held = spark.sparkContext.broadcast(np.sort(tokens.view(np.uint64)))
-
+    parcel = "bucket int, blob binary"
+    sent = docs.mapInArrow(_shingled(bits, cut), parcel)
+    back = sent.groupBy("bucket").applyInArrow(_counted(bits, cut), parcel)
     keys = total * 0.25 + most
-    kept, cut = min(64, _power(keys) + 14), _power(keys / TASK_ROWS)
-    indexed = docs.mapInArrow(_indexer(held, bits, kept, cut), "bucket int, blob binary")
-    meet = scratch.table(indexed.groupBy("bucket").applyInArrow(_meet(kept, cut), "key long, node long, centre long"), "meet")
+    kept, key_cut = min(64, _power(keys) + 14), _power(keys / TASK_ROWS)
+    keyed = back.groupBy("bucket").applyInArrow(_indexed(bits, kept, key_cut), parcel)
+    meet = keyed.groupBy("bucket").applyInArrow(_meet(kept, key_cut), "key long, node long, centre long")
+    meet = scratch.table(meet, "meet")
 
     sized = nodes.select("node", "n")
-    part = components.cluster(meet, lambda pairs: verify(pairs, nodes, docs), lambda pairs: _alike(pairs, sized))
+    part = components.cluster(meet, lambda pairs: verify(pairs, nodes, docs), lambda pairs: _alike(pairs, sized), lambda rest: across(rest, nodes, docs))
 
     # Names: the least id of a component.  Nodes of one document alone need none.
     named = nodes.join(part, "node", "left").where("component IS NOT NULL OR copies > 1")
