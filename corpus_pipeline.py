@@ -20,17 +20,16 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least doc_id stays, once; the same holds for repeated rows."""
+    """Of each group of similar documents the one with the least doc_id stays, in all its rows; documents without an id stay."""
     part = ngramjoin.join(docs)
     grouped = part.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    others = part.join(grouped, "component_id").where("doc_id <> component_id OR doc_id IS NULL").select("doc_id").distinct()
+    others = part.join(grouped, "component_id").where("doc_id <> component_id").select("doc_id").distinct()
     others = scratch.table(others, "others")
-    kept = docs.join(others, docs["doc_id"].eqNullSafe(others["doc_id"]), "left_anti")
-    return kept.select(*docs.columns)
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; those without an id go together if one of them does."""
     leaked = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaked = scratch.table(leaked.select("doc_id").distinct(), "leaked")
     return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti").select(*docs.columns)
