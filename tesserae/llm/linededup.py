@@ -73,10 +73,14 @@ def _verifier(lines: DataFrame, meet: DataFrame):
         a = texts.select(F.col("line_key").alias("u"), F.col("line").alias("a"))
         b = texts.select(F.col("line_key").alias("v"), F.col("line").alias("b"))
         both = pairs.join(a, "u").join(b, "v")
-        # Sets so different in size can't be similar: a line of n bytes has n - 7 shingles at most.
-        both = both.select("u", "v", shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b"))
-        both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("m"))
-        return scratch.table(both.where(100 * F.col("n") >= LIKE * (F.col("m") - F.col("n"))).select("u", "v"), "links")
+        # A one-element array holds both sets, so each is made once.
+        sets = F.array(F.struct(shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b")))
+
+        def alike(s):
+            n = F.size(F.array_intersect(s["a"], s["b"]))
+            return 100 * n >= LIKE * (F.size(s["a"]) + F.size(s["b"]) - n)
+
+        return scratch.table(both.where(F.exists(sets, alike)).select("u", "v"), "links")
 
     return verify
 
