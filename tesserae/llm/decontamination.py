@@ -154,6 +154,48 @@ def _agree(item_words, doc_words, lined) -> float:
     return good / len(pairs)
 
 
+def _on_lines(item_shown, shown, lines):
+    """How many of an item's words stand at their own places on each diagonal (document place less item place)."""
+    n = len(item_shown)
+    out = np.zeros(len(lines), np.int64)
+    for i in range(0, len(lines), 4096):
+        at = lines[i : i + 4096, None] + np.arange(n)
+        inside = (at >= 0) & (at < len(shown))
+        out[i : i + 4096] = (inside & (shown[np.where(inside, at, 0)] == item_shown)).sum(axis=1)
+    return out
+
+
+def _line(item_shown, shown, d: int) -> dict:
+    """The words that an item has at their own places on a diagonal: item place -> document place."""
+    a, b = max(0, -d), min(len(item_shown), len(shown) - d)
+    places = np.flatnonzero(item_shown[a:b] == shown[a + d : b + d]) + a
+    return dict(zip(places.tolist(), (places + d).tolist()))
+
+
+def _chains(item_shown, shown, p, q):
+    """Windows in document order, cut where their diagonal changes much: a copy may have gained, lost or moved words."""
+    n = len(item_shown)
+    order = np.lexsort((q, p))
+    p, q = p[order], q[order]
+    cuts = np.flatnonzero((np.diff(p) > n) | (np.abs(np.diff(p - q)) > max(3, n // 4))) + 1
+    for a, b in zip(np.append(0, cuts), np.append(cuts, len(p))):
+        lined, taken = {}, set()
+        for x, y in zip(p[a:b].tolist(), q[a:b].tolist()):
+            for j in range(WINDOW):
+                if y + j not in lined and x + j not in taken:
+                    lined[y + j] = x + j
+                    taken.add(x + j)
+        # Words left between windows count where both sides have the same number of them.
+        keys = sorted(lined)
+        for u, v in zip(keys[:-1], keys[1:]):
+            if v - u > 1 and lined[v] - lined[u] == v - u:
+                for j in range(1, v - u):
+                    if item_shown[u + j] == shown[lined[u] + j] and lined[u] + j not in taken:
+                        lined[u + j] = lined[u] + j
+                        taken.add(lined[u] + j)
+        yield lined
+
+
 def _match(idx: dict, plain, kind, shown, places, found_item, found_place) -> list:
     """One document's windows that an item has -> items it holds: (item, cover, consistency, first and end word)."""
     out = []
@@ -161,32 +203,31 @@ def _match(idx: dict, plain, kind, shown, places, found_item, found_place) -> li
         own = found_item == item
         p, q = places[own], found_place[own]
         item_words = idx["words"][item]
-        n = len(item_words[0])
+        item_shown = item_words[2]
+        n = len(item_shown)
         need = COVER * n
         if len(np.unique(q)) + WINDOW - 1 < need / 2:
             continue
-        # Windows near one diagonal belong to one copy; a copy may have gained or lost words.
-        order = np.lexsort((q, p))
-        p, q = p[order], q[order]
-        cuts = np.flatnonzero((np.diff(p) > n) | (np.abs(np.diff(p - q)) > max(3, n // 4))) + 1
         best = None
-        for a, b in zip(np.append(0, cuts), np.append(cuts, len(p))):
-            lined = {}
-            for x, y in zip(p[a:b], q[a:b]):
-                for j in range(WINDOW):
-                    lined.setdefault(int(y) + j, int(x) + j)
-            # Words left between windows count where both sides have the same number of them.
-            keys = sorted(lined)
-            for u, v in zip(keys[:-1], keys[1:]):
-                if v - u > 1 and lined[v] - lined[u] == v - u:
-                    for j in range(1, v - u):
-                        if item_words[2][u + j] == shown[lined[u] + j]:
-                            lined[u + j] = lined[u] + j
+
+        def hold(lined):
+            nonlocal best
             cover = len(lined) / n
-            if cover >= COVER:
+            if cover >= COVER and (best is None or cover > best[1]):
                 steady = _agree(item_words, (plain, kind), lined.items())
-                if steady >= CONSISTENT and (best is None or cover > best[1]):
+                if steady >= CONSISTENT:
                     best = (int(item), cover, steady, min(lined.values()), max(lined.values()) + 1)
+
+        # A window that an item repeats has several places in it, so each diagonal is followed by itself first.
+        lines = np.unique(p - q)
+        common = _on_lines(item_shown, shown, lines)
+        for k in np.argsort(-common, kind="stable"):
+            if common[k] < need or (best and common[k] <= best[1] * n):
+                break
+            hold(_line(item_shown, shown, int(lines[k])))
+        if best is None or best[1] < 1:
+            for lined in _chains(item_shown, shown, p, q):
+                hold(lined)
         if best:
             out.append(best)
     return out

@@ -145,6 +145,19 @@ def test_benchmark_items_found_when_numbers_change(spark):
     assert found == {1, 2, 4}
 
 
+def held(spark, item, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in decontamination.find(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+
+
+def test_benchmark_item_that_repeats_a_window(spark):
+    frame = "what is the sum of {} and {}"
+    item = f"a farmer counts eggs and {frame.format(3, 4)} plus the price of corn in spring when rain falls late on fields far from here while {frame.format(5, 6)} for barley"
+    frames = " then ".join(frame.format(2 * k, 2 * k + 1) for k in range(5))
+    assert held(spark, item, [item, f"before it {item} and after", frame.format(3, 4)]) == {0, 1}
+    assert held(spark, frames, [frames, f"words before {frames} and after", f"then {frame.format(0, 1)} then"]) == {0, 1}
+
+
 def test_benchmark_items_exact(spark, db):
     texts, items = corpus(db), db.sql("SELECT item_id, text FROM benchmark").fetchall()
     found = {(r.doc_id, r.item_id) for r in decontamination.query(spark, f"{oracle.DATA}/{SF}").collect()}
