@@ -172,6 +172,42 @@ def _line(item_shown, shown, d: int) -> dict:
     return dict(zip(places.tolist(), (places + d).tolist()))
 
 
+def _aligned(item_shown, shown, d: int, seeded, band: int) -> dict:
+    """Most words that an item and the document around a diagonal have in the same order: item place -> document place.
+
+    Of alignments with as many words, the one with most words on the diagonal, then on those in ``seeded``, counts.
+    """
+    n = len(item_shown)
+    x0, x1 = max(0, d - band), min(len(shown), d + n + band)
+    text = shown[x0:x1]
+    width = len(text)
+    bonus = np.zeros(n + width, np.int64)  # by diagonal, counted from x0 - n
+    near = seeded[(seeded >= x0 - n) & (seeded < x0 + width)]
+    bonus[near - x0 + n] = 1
+    bonus[d - x0 + n] = 2
+    word = 3 * n
+    now = np.zeros(width + 1, np.int64)
+    up, left = np.zeros((n, (width + 8) // 8), np.uint8), np.zeros((n, (width + 8) // 8), np.uint8)
+    for u in range(n):
+        before = now
+        now = before.copy()
+        same = np.flatnonzero(text == item_shown[u])
+        now[same + 1] = np.maximum(now[same + 1], before[same] + word + bonus[same - u + n])
+        now = np.maximum.accumulate(now)
+        up[u] = np.packbits(now == before)
+        left[u, : (width + 7) // 8] = np.packbits(now[1:] == now[:-1])
+    lined, u, x = {}, n, width
+    while u and x:
+        if up[u - 1, x >> 3] >> (7 - (x & 7)) & 1:
+            u -= 1
+        elif left[u - 1, (x - 1) >> 3] >> (7 - ((x - 1) & 7)) & 1:
+            x -= 1
+        else:
+            u, x = u - 1, x - 1
+            lined[u] = x0 + x
+    return lined
+
+
 def _chains(item_shown, shown, p, q):
     """Windows in document order, cut where their diagonal changes much: a copy may have gained, lost or moved words."""
     n = len(item_shown)
@@ -206,8 +242,6 @@ def _match(idx: dict, plain, kind, shown, places, found_item, found_place) -> li
         item_shown = item_words[2]
         n = len(item_shown)
         need = COVER * n
-        if len(np.unique(q)) + WINDOW - 1 < need / 2:
-            continue
         best = None
 
         def hold(lined):
@@ -228,6 +262,25 @@ def _match(idx: dict, plain, kind, shown, places, found_item, found_place) -> li
         if best is None or best[1] < 1:
             for lined in _chains(item_shown, shown, p, q):
                 hold(lined)
+            # Words put in or left out, also beyond the end windows: an alignment around each diagonal that can have enough words.
+            band = max(3, n // 4)
+            known = np.append(0, np.cumsum(np.isin(shown, item_shown)))
+            low, high = np.maximum(lines - 2 * band, 0), np.minimum(lines + n + 2 * band, len(shown))
+            open_ = known[high] - known[low] >= need
+            for k in np.argsort(-common, kind="stable"):
+                d = int(lines[k])
+                if not open_[k] or (best and best[1] == 1):
+                    continue
+                if np.isin(item_shown, shown[low[k] : high[k]]).sum() < need:
+                    open_[k] = False
+                    continue
+                lined = _aligned(item_shown, shown, d, lines, 2 * band)
+                if len(lined) < need:
+                    # No diagonal whose own band lies in this one has more.
+                    open_[np.abs(lines - d) <= band] = False
+                else:
+                    hold(lined)
+                    hold(_aligned(item_shown, shown, d, lines, band))
         if best:
             out.append(best)
     return out

@@ -158,6 +158,17 @@ def test_benchmark_item_that_repeats_a_window(spark):
     assert held(spark, frames, [frames, f"words before {frames} and after", f"then {frame.format(0, 1)} then"]) == {0, 1}
 
 
+def test_benchmark_item_with_words_changed(spark):
+    words = [f"w{chr(97 + k)}{chr(97 + k * 7 % 26)}" for k in range(20)]
+    item, changed = " ".join(words), []
+    for k in (4, 15):
+        changed += [words[:k] + ["other"] + words[k + 1 :], words[:k] + ["other"] + words[k:], words[:k] + words[k + 1 :]]
+    changed.append([w if k in (9, 10, 11, 12, 13) or k % 5 else "other" for k, w in enumerate(words)])
+    too_many = [w if 5 <= k < 19 else "other" for k, w in enumerate(words)]
+    texts = [f"so said , {' '.join(w)} and after" for w in [words, *changed, too_many]]
+    assert held(spark, item, texts) == set(range(8))
+
+
 def test_benchmark_items_exact(spark, db):
     texts, items = corpus(db), db.sql("SELECT item_id, text FROM benchmark").fetchall()
     found = {(r.doc_id, r.item_id) for r in decontamination.query(spark, f"{oracle.DATA}/{SF}").collect()}
