@@ -1,7 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased and freed of punctuation; numbers, names (capitalised
-inside a sentence) and units after a number become typed placeholders.
+inside a sentence) and units after a number become typed placeholders.  A
+capitalised word that begins a sentence may be a name or not: windows are
+searched with it as a word and as a name, and an exchanged one counts where it
+maps one to one.
 Windows of the canonical words are hash-joined with those of the benchmark's
 items; the windows that lie along one item give the words it has in common
 with the document, and the values in the item's placeholders must map to the
@@ -12,6 +15,7 @@ throughout is found, and text that merely has the same frame is not.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 58, 63]] = True  # ! . : ?
+#: Kind of a capitalised word that begins a sentence, which may be a name.
+LEAD = 4
 NUMBER, NAME, UNIT = (tk.mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
 
 
@@ -60,7 +66,7 @@ _SAME = np.arange(256, dtype=np.uint8)
 
 
 def canonical(data, at):
-    """Canonical hashes and plain hashes of the words of each row, the kinds of placeholders (0 none), first indices, starts and ends."""
+    """Canonical hashes and plain hashes of the words of each row, the kinds of placeholders (0 none, LEAD a word with its plain hash), first indices, starts and ends."""
     low, upper = _folded(data)
     starts, ends, _, first = tk.words(data, at)
     n = len(starts)
@@ -90,6 +96,7 @@ def canonical(data, at):
     unit = np.zeros(n, bool)
     unit[1:] = (kind[:-1] == 1) & ~begins[1:] & np.isin(plain[1:], units)
     kind[unit] = 3
+    kind[(kind == 0) & upper[s]] = LEAD
     shown = np.select([kind == 1, kind == 2, kind == 3], [NUMBER, NAME, UNIT], plain)
     return shown, plain, kind, first, starts, ends
 
@@ -118,13 +125,25 @@ def _frames(shown, first):
     return tk.mix(out[ok]), ok
 
 
+def _both_frames(shown, kind, first):
+    """Windows with words that begin a sentence as they are, and those that differ when these are names."""
+    frames, where = _frames(shown, first)
+    named, _ = _frames(_named(shown, kind), first)
+    other = np.flatnonzero(named != frames)
+    return np.append(frames, named[other]), np.append(where, where[other])
+
+
+def _named(shown, kind):
+    return np.where(kind == LEAD, NAME, shown)
+
+
 def index(item_ids: list[int], texts: list[str]) -> dict:
     """The benchmark's windows in hash order, with item and place, and its words."""
     column = pa.array(texts, pa.large_string())
     hashes, item, place, words = [], [], [], {}
     for i, j, data, at in tk.chunks(column):
         shown, plain, kind, first, _, _ = canonical(data, at)
-        frames, where = _frames(shown, first)
+        frames, where = _both_frames(shown, kind, first)
         row = np.searchsorted(first, where, "right") - 1
         hashes.append(frames)
         item.append(row + i)
@@ -139,7 +158,7 @@ def index(item_ids: list[int], texts: list[str]) -> dict:
 def _agree(item_words, doc_words, lined) -> float:
     """Share of the lined-up placeholders whose values map one to one, 1 without placeholders."""
     (plain_i, kind_i, _), (plain_d, kind_d) = item_words, doc_words
-    pairs = [(int(kind_i[a]), int(plain_i[a]), int(plain_d[b])) for a, b in lined if kind_i[a] and kind_d[b] == kind_i[a]]
+    pairs = [(int(kind_i[a]), int(plain_i[a]), int(plain_d[b])) for a, b in lined if 0 < kind_i[a] < LEAD and kind_d[b] == kind_i[a]]
     if not pairs:
         return 1.0
     there, back = {}, {}
@@ -154,21 +173,50 @@ def _agree(item_words, doc_words, lined) -> float:
     return good / len(pairs)
 
 
+def _settled(item_words, doc_words, lined: dict) -> dict:
+    """The lined-up words without those that agree as names only, where a sentence begins, and do not map one to one; none if those names are most of it."""
+    (plain_i, kind_i, shown_i), (plain_d, _, shown_d) = item_words, doc_words
+    named = {a for a, b in lined.items() if shown_i[a] != shown_d[b]}
+    if not named:
+        return lined
+    there, back = {}, {}
+    for a, b in lined.items():
+        if a in named or kind_i[a] in (2, LEAD):
+            x, y = int(plain_i[a]), int(plain_d[b])
+            there.setdefault(x, Counter())[y] += 1
+            back.setdefault(y, Counter())[x] += 1
+    bad = set()
+    for a in named:
+        x, y = int(plain_i[a]), int(plain_d[lined[a]])
+        if y != max(there[x], key=lambda v: (there[x][v], v)) or x != max(back[y], key=lambda v: (back[y][v], v)):
+            bad.add(a)
+    if len(named) - len(bad) > sum(kind_i[a] == 0 for a in lined):
+        return {}
+    return {a: b for a, b in lined.items() if a not in bad}
+
+
+# Below, item_shown and shown have a row for each reading of the words; words are the same where one reading agrees.
+
+
 def _on_lines(item_shown, shown, lines):
     """How many of an item's words stand at their own places on each diagonal (document place less item place)."""
-    n = len(item_shown)
+    n, size = item_shown.shape[1], shown.shape[1]
     out = np.zeros(len(lines), np.int64)
     for i in range(0, len(lines), 4096):
         at = lines[i : i + 4096, None] + np.arange(n)
-        inside = (at >= 0) & (at < len(shown))
-        out[i : i + 4096] = (inside & (shown[np.where(inside, at, 0)] == item_shown)).sum(axis=1)
+        inside = (at >= 0) & (at < size)
+        at = np.where(inside, at, 0)
+        same = np.zeros(at.shape, bool)
+        for ours, theirs in zip(item_shown, shown):
+            same |= theirs[at] == ours
+        out[i : i + 4096] = (inside & same).sum(axis=1)
     return out
 
 
 def _line(item_shown, shown, d: int) -> dict:
     """The words that an item has at their own places on a diagonal: item place -> document place."""
-    a, b = max(0, -d), min(len(item_shown), len(shown) - d)
-    places = np.flatnonzero(item_shown[a:b] == shown[a + d : b + d]) + a
+    a, b = max(0, -d), min(item_shown.shape[1], shown.shape[1] - d)
+    places = np.flatnonzero((item_shown[:, a:b] == shown[:, a + d : b + d]).any(axis=0)) + a
     return dict(zip(places.tolist(), (places + d).tolist()))
 
 
@@ -177,10 +225,10 @@ def _aligned(item_shown, shown, d: int, seeded, band: int) -> dict:
 
     Of alignments with as many words, the one with most words on the diagonal, then on those in ``seeded``, counts.
     """
-    n = len(item_shown)
-    x0, x1 = max(0, d - band), min(len(shown), d + n + band)
-    text = shown[x0:x1]
-    width = len(text)
+    n = item_shown.shape[1]
+    x0, x1 = max(0, d - band), min(shown.shape[1], d + n + band)
+    text = shown[:, x0:x1]
+    width = x1 - x0
     bonus = np.zeros(n + width, np.int64)  # by diagonal, counted from x0 - n
     near = seeded[(seeded >= x0 - n) & (seeded < x0 + width)]
     bonus[near - x0 + n] = 1
@@ -191,7 +239,7 @@ def _aligned(item_shown, shown, d: int, seeded, band: int) -> dict:
     for u in range(n):
         before = now
         now = before.copy()
-        same = np.flatnonzero(text == item_shown[u])
+        same = np.flatnonzero((text == item_shown[:, u, None]).any(axis=0))
         now[same + 1] = np.maximum(now[same + 1], before[same] + word + bonus[same - u + n])
         now = np.maximum.accumulate(now)
         up[u] = np.packbits(now == before)
@@ -210,7 +258,7 @@ def _aligned(item_shown, shown, d: int, seeded, band: int) -> dict:
 
 def _chains(item_shown, shown, p, q):
     """Windows in document order, cut where their diagonal changes much: a copy may have gained, lost or moved words."""
-    n = len(item_shown)
+    n = item_shown.shape[1]
     order = np.lexsort((q, p))
     p, q = p[order], q[order]
     cuts = np.flatnonzero((np.diff(p) > n) | (np.abs(np.diff(p - q)) > max(3, n // 4))) + 1
@@ -218,7 +266,7 @@ def _chains(item_shown, shown, p, q):
         lined, taken = {}, set()
         for x, y in zip(p[a:b].tolist(), q[a:b].tolist()):
             for j in range(WINDOW):
-                if y + j not in lined and x + j not in taken:
+                if y + j not in lined and x + j not in taken and (item_shown[:, y + j] == shown[:, x + j]).any():
                     lined[y + j] = x + j
                     taken.add(x + j)
         # Words left between windows count where both sides have the same number of them.
@@ -226,7 +274,7 @@ def _chains(item_shown, shown, p, q):
         for u, v in zip(keys[:-1], keys[1:]):
             if v - u > 1 and lined[v] - lined[u] == v - u:
                 for j in range(1, v - u):
-                    if item_shown[u + j] == shown[lined[u] + j] and lined[u] + j not in taken:
+                    if lined[u] + j not in taken and (item_shown[:, u + j] == shown[:, lined[u] + j]).any():
                         lined[u + j] = lined[u] + j
                         taken.add(lined[u] + j)
         yield lined
@@ -235,57 +283,71 @@ def _chains(item_shown, shown, p, q):
 def _match(idx: dict, plain, kind, shown, places, found_item, found_place) -> list:
     """One document's windows that an item has -> items it holds: (item, cover, consistency, first and end word)."""
     out = []
+    readings = np.stack([shown, _named(shown, kind)])
     for item in np.unique(found_item):
         own = found_item == item
         p, q = places[own], found_place[own]
         item_words = idx["words"][item]
-        item_shown = item_words[2]
-        n = len(item_shown)
-        need = COVER * n
+        n = len(item_words[2])
         best = None
 
         def hold(lined):
             nonlocal best
+            lined = _settled(item_words, (plain, kind, shown), lined)
             cover = len(lined) / n
             if cover >= COVER and (best is None or cover > best[1]):
                 steady = _agree(item_words, (plain, kind), lined.items())
                 if steady >= CONSISTENT:
                     best = (int(item), cover, steady, min(lined.values()), max(lined.values()) + 1)
 
-        # A window that an item repeats has several places in it, so each diagonal is followed by itself first.
-        lines = np.unique(p - q)
-        common = _on_lines(item_shown, shown, lines)
-        for k in np.argsort(-common, kind="stable"):
-            if common[k] < need or (best and common[k] <= best[1] * n):
-                break
-            hold(_line(item_shown, shown, int(lines[k])))
-        if best is None or best[1] < 1:
-            for lined in _chains(item_shown, shown, p, q):
-                hold(lined)
-            # Words put in or left out, also beyond the end windows: an alignment around each diagonal that can have enough words.
-            band = max(3, n // 4)
-            known = np.append(0, np.cumsum(np.isin(shown, item_shown)))
-            low, high = np.maximum(lines - 2 * band, 0), np.minimum(lines + n + 2 * band, len(shown))
-            open_ = known[high] - known[low] >= need
-            for k in np.argsort(-common, kind="stable"):
-                d = int(lines[k])
-                if not open_[k] or (best and best[1] == 1):
-                    continue
-                if np.isin(item_shown, shown[low[k] : high[k]]).sum() < need:
-                    open_[k] = False
-                    continue
-                lined = _aligned(item_shown, shown, d, lines, 2 * band)
-                if len(lined) < need:
-                    # No diagonal whose own band lies in this one has more.
-                    open_[np.abs(lines - d) <= band] = False
-                else:
-                    hold(lined)
-                    hold(_aligned(item_shown, shown, d, lines, band))
+        item_readings = np.stack([item_words[2], _named(item_words[2], item_words[1])])
+        # First with words that begin a sentence as they are, then also as names.
+        for k in (1, 2):
+            if best is None or best[1] < 1:
+                _follow(item_readings[:k], readings[:k], p, q, hold, lambda: best[1] if best else 0)
         if best:
             out.append(best)
     return out
 
 
+def _follow(item_shown, shown, p, q, hold, reached) -> None:
+    """Gives ``hold`` the alignments of an item with the document by the windows at p and q, until one has every word."""
+    n, size = item_shown.shape[1], shown.shape[1]
+    need = COVER * n
+    # A window that an item repeats has several places in it, so each diagonal is followed by itself first.
+    lines = np.unique(p - q)
+    common = _on_lines(item_shown, shown, lines)
+    best_first = np.argsort(-common, kind="stable")
+    for k in best_first:
+        if common[k] < need or common[k] <= reached() * n:
+            break
+        hold(_line(item_shown, shown, int(lines[k])))
+    if reached() == 1:
+        return
+    for lined in _chains(item_shown, shown, p, q):
+        hold(lined)
+    # Words put in or left out, also beyond the end windows: an alignment around each diagonal that can have enough words.
+    band = max(3, n // 4)
+    low, high = np.maximum(lines - 2 * band, 0), np.minimum(lines + n + 2 * band, size)
+    here = np.any([np.isin(theirs, ours) for ours, theirs in zip(item_shown, shown)], axis=0)
+    known = np.append(0, np.cumsum(here))
+    open_ = known[high] - known[low] >= need
+    for k in best_first:
+        d = int(lines[k])
+        if not open_[k] or reached() == 1:
+            continue
+        if np.any([np.isin(ours, theirs[low[k] : high[k]]) for ours, theirs in zip(item_shown, shown)], axis=0).sum() < need:
+            open_[k] = False
+            continue
+        lined = _aligned(item_shown, shown, d, lines, 2 * band)
+        if len(lined) < need:
+            # No diagonal whose own band lies in this one has more.
+            open_[np.abs(lines - d) <= band] = False
+        else:
+            hold(lined)
+            hold(_aligned(item_shown, shown, d, lines, band))
+
+
 _KINDS = "item_id long, cover double, consistency double, start long, end long"
 
 
@@ -296,7 +358,9 @@ def _search(held):
             rows, out = [], []
             for i, j, data, at in tk.chunks(batch.column(1)):
                 shown, plain, kind, first, starts, ends = canonical(data, at)
-                frames, where = _frames(shown, first)
+                frames, where = _both_frames(shown, kind, first)
+                order = np.argsort(where, kind="stable")
+                frames, where = frames[order], where[order]
                 low = np.searchsorted(idx["hash"], frames)
                 hit = np.zeros(len(frames), bool)
                 inside = low < len(idx["hash"])

@@ -169,6 +169,15 @@ def test_benchmark_item_with_words_changed(spark):
     assert held(spark, item, texts) == set(range(8))
 
 
+def test_benchmark_item_whose_names_begin_sentences(spark):
+    item = "Tom has 3 red apples. Tom buys 4 more pears. Tom eats 2 of them. Tom sells 5 to friends. Tom keeps 6."
+    mixed = item.replace("keeps", "holds")
+    for name in ("Sam", "Ann", "Eve", "Bob", "Kim"):
+        mixed = mixed.replace("Tom", name, 1)
+    texts = [item, item.replace("Tom", "Sam"), "She said, " + item.replace("Tom", "Sam"), mixed, "Pears cost 3 euros. Nobody buys 4 more. They eat 2. How many pears do they want?"]
+    assert held(spark, item, texts) == {0, 1, 2}
+
+
 def test_benchmark_items_exact(spark, db):
     texts, items = corpus(db), db.sql("SELECT item_id, text FROM benchmark").fetchall()
     found = {(r.doc_id, r.item_id) for r in decontamination.query(spark, f"{oracle.DATA}/{SF}").collect()}
