@@ -29,10 +29,8 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; those without an id go together if one of them does."""
-    leaked = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = scratch.table(leaked.select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti").select(*docs.columns)
+    """Rows whose own text holds a benchmark item go; others of the same doc_id, or without one, stay."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -390,6 +390,38 @@ def _search(held):
     return run
 
 
+def _without(held, text: int):
+    """Batches without the rows whose own text, the column at ``text``, holds an item."""
+
+    def run(batches):
+        search = _search(held)
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text)], ["row", "text"])
+            keep = np.ones(batch.num_rows, bool)
+            for found in search([rows]):
+                keep[found.column(0).to_numpy()] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _indexes(benchmark: DataFrame):
+    """The index of each ``ITEMS`` items, as a broadcast."""
+    items = scratch.columns(benchmark, "item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    passes = max(1, -(-items.count() // ITEMS))
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow()
+        if part.num_rows:
+            yield benchmark.sparkSession.sparkContext.broadcast(index(part.column(0).to_pylist(), part.column(1).to_pylist()))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, in all their columns, whose own text holds no item; whatever ids they have or share plays no part."""
+    for held in _indexes(benchmark):
+        docs = docs.mapInArrow(_without(held, docs.columns.index("text")), docs.schema)
+    return docs
+
+
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, item_id, cover, consistency, start, end): the benchmark items that each whole text holds, with byte spans.
 
@@ -400,15 +432,9 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFram
     are held by every task, ``ITEMS`` at a time.
     """
     spark = docs.sparkSession
-    items = scratch.columns(benchmark, "item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
-    passes = max(1, -(-items.count() // ITEMS))
     docs = docs.select(docs[key].cast("long").alias("id"), "text")
     out = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow()
-        if not part.num_rows:
-            continue
-        held = spark.sparkContext.broadcast(index(part.column(0).to_pylist(), part.column(1).to_pylist()))
+    for held in _indexes(benchmark):
         found = docs.mapInArrow(_search(held), f"id long, {_KINDS}")
         out = found if out is None else out.unionByName(found)
     if out is None:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tesserae.llm import decontamination, imatch, langid, licenses, linededup, mixing, ngramjoin, pii, suffixdedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, node string, id string, score string"
@@ -47,3 +48,14 @@ def test_searches_run(spark, docs):
 def test_components_of_odd_rows(spark):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.join(spark.createDataFrame(odd_rows(), SCHEMA)).collect()}
     assert (2, 0, 2) in got and (3, 0, 3) in got and (8, 1, 8) in got and (None, 1, None) in got
+
+
+def test_only_leaked_rows_leave_the_pipeline(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(3, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item} then"), (None, "clean words without an id"), (None, None), (4, item), (4, "another text of the same id"), (5, "clean"), (5, "")]
+    kept = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[k] for k in (1, 2, 4, 5, 6)]))
+    odd = spark.createDataFrame(odd_rows(), SCHEMA)
+    assert corpus_pipeline.decontamination_stage(spark, odd, str(tmp_path)).columns == odd.columns
+    assert corpus_pipeline.decontamination_stage(spark, odd, str(tmp_path)).count() == odd.count()
