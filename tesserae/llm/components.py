@@ -1,4 +1,4 @@
-"""Distributed union-find: alternating large-star and small-star rounds."""
+"""Clustering of candidates, and distributed union-find by alternating large-star and small-star rounds."""
 
 from __future__ import annotations
 
@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
+#: Nodes of one key that meet in one cell at most, about; a larger key is dealt out to pairs of its blocks.
+CELL = 2000
+#: Rounds of new centres at most; of the nodes that share a key across components, one in so many must gain a link for another one.
+ROUNDS, LEAST = 16, 20
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round over edges (u, v).
@@ -35,12 +40,6 @@ def _mark(edges: DataFrame) -> tuple:
     )
 
 
-#: Rounds of new centres at most, and pairs across components for each membership from which another round is worth it.
-ROUNDS, DENSE = 16, 2
-#: One link in so many pairs keeps the rounds going.
-LEAST = 20
-
-
 def _best(meet: DataFrame) -> DataFrame:
     """For each node the centre that it shares most keys with, as pairs (u, v) of centre and node."""
     best = meet.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
@@ -56,51 +55,100 @@ def _once(meet: DataFrame) -> DataFrame:
     return meet.join(sets, "key").select("key", "node", "centre")
 
 
-def cluster(meet: DataFrame, verify, alike=None, across_of=None) -> DataFrame:
+def _apart(meet: DataFrame, part: DataFrame) -> DataFrame:
+    """Memberships (key, node, part) of the keys that nodes of several parts share."""
+    placed = meet.select("key", "node").join(part, "node", "left")
+    placed = placed.select("key", "node", F.coalesce("component", "node").alias("part"))
+    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    return _once(placed.withColumn("centre", F.col("part")).join(split.select("key"), "key")).withColumnRenamed("centre", "part")
+
+
+def _cells(meet: DataFrame) -> DataFrame:
+    """Memberships dealt out to cells: a key's blocks i and j meet in one cell, so a cell holds about two blocks of CELL nodes."""
+    sizes = meet.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    rows = meet.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    return rows.select(cell.alias("cell"), "node", "part", "block", (F.col("block") == F.col("other")).alias("same"))
+
+
+def _named(marks: DataFrame, prefix: str) -> DataFrame:
+    return marks.select(*[F.col(c).alias(f"{prefix}{c}") for c in marks.columns])
+
+
+def _crossing(meet: DataFrame, marks: DataFrame, slack, every: bool) -> DataFrame:
+    """Pairs (u, v) of nodes of different parts that share a key and may be linked.
+
+    Unless ``every``, of the nodes of a part that a node may be linked to only
+    the likeliest: one link joins the two.
+    """
+    rows = _cells(meet).join(marks, "node")
+    a, b = _named(rows, "a_"), _named(rows, "b_")
+    left = slack("a_", "b_")
+    pairs = a.join(b, F.expr("a_cell = b_cell AND a_part < b_part AND (a_same OR a_block <> b_block)") & (left >= 0))
+    pairs = pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), F.col("b_part").alias("part"), left.alias("left"))
+    if not every:
+        return pairs.groupBy("u", "part").agg(F.max(F.struct("left", "v"))["v"].alias("v"), (F.min("v") < F.max("v")).alias("more")).select("u", "v", "more")
+    return pairs.select("u", "v").distinct()
+
+
+def cluster(meet: DataFrame, marks: DataFrame, slack, verify) -> DataFrame:
     """Memberships (key, node, centre) -> (node, component) of verified links.
 
+    ``marks`` (node, ...) are small summaries of the nodes; ``slack(a, b)``
+    gives, from the marks under two prefixes, a number that is negative only
+    where two nodes can't be linked.  ``verify`` keeps the links of pairs
+    (u, v).
+
     Every node is verified against one centre, the one that it shares most
-    keys with.  While many nodes share a key but no component, each key draws
-    a new centre, which every node outside its component is verified against;
-    so a group of copies grows together in a few rounds, each as large as the
-    memberships.  What then still shares a key across components is verified
-    pair by pair: two nodes that share a key and are similar always end up
-    together.  ``verify`` keeps the similar ones of pairs (u, v); ``alike``
-    drops pairs that can't be; ``across_of`` finds the last links from rows
-    (key, node, part) in place of a join.
+    keys with.  While that finds links, each key draws a new centre, which
+    every node outside its component is verified against; so a group of copies
+    grows together in a few rounds, each as large as the memberships.  For
+    what then still shares a key across components, the marks of each pair are
+    compared, in cells of bounded size, and those that may be linked verified:
+    first the likeliest of each node and component, then all that are left.
+    So two nodes that share a key and are linked always end up together.
     """
-    alike = alike or (lambda pairs: pairs)
-    meet = scratch.table(_once(meet), "meet")
-    known = scratch.table(_best(meet), "pairs")
-    links, few = verify(alike(known)), False
-    for turn in range(ROUNDS + 1):
-        part = scratch.table(components(links), "parts")
-        placed = meet.select("key", "node").join(part, "node", "left")
-        placed = placed.select("key", "node", F.coalesce("component", "node").alias("part"))
-        split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-        meet = scratch.table(placed.join(split.select("key"), "key"), "meet")
-        sizes = meet.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
-        sizes = sizes.agg(F.sum("n").cast("double").alias("all"), F.sum(F.col("n") * F.col("n")).cast("double").alias("own"))
-        rows, across = sizes.agg(F.coalesce(F.sum("all"), F.lit(0.0)), F.coalesce(F.sum((F.col("all") ** 2 - F.col("own")) / 2), F.lit(0.0))).first()
-        if across <= DENSE * rows or few or turn == ROUNDS:
-            break
-        drawn = meet.withColumn("draw", F.xxhash64("node", F.lit(turn)))
-        least = drawn.groupBy("key").agg(F.min("draw").alias("draw"))
-        centre = drawn.join(least, ["key", "draw"]).select("key", F.col("node").alias("centre"), F.col("part").alias("own"))
-        pairs = _best(meet.join(centre, "key").where("part <> own"))
-        pairs = scratch.table(pairs.join(known, ["u", "v"], "left_anti"), "pairs")
-        known = known.unionByName(pairs)
-        fresh = verify(alike(pairs))
-        links = links.unionByName(fresh)
-        few = fresh.count() < pairs.count() / LEAST
-    if across_of:
-        return scratch.table(components(links.unionByName(across_of(meet))), "parts")
-    a, b = meet.alias("a"), meet.alias("b")
-    pairs = a.join(b, F.expr("a.key = b.key AND a.part < b.part"))
-    pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    known = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    pairs = scratch.table(alike(pairs.join(known, ["u", "v"], "left_anti")), "across")
-    return scratch.table(components(links.unionByName(verify(pairs))), "parts")
+    with scratch.scope() as own:
+        meet = own.table(_once(meet), "meet")
+
+        def alike(pairs):
+            both = pairs.join(_named(marks, "a_"), F.col("u") == F.col("a_node")).join(_named(marks, "b_"), F.col("v") == F.col("b_node"))
+            return both.where(slack("a_", "b_") >= 0).select("u", "v")
+
+        known = own.table(alike(_best(meet)), "pairs")
+        links = verify(known)
+        for turn in range(ROUNDS + 1):
+            part = own.table(components(links), "parts")
+            apart = own.table(_apart(meet, part), "meet")
+            own.drop(meet)
+            meet = apart
+            nodes = meet.agg(F.approx_count_distinct("node")).first()[0]
+            if turn == ROUNDS or turn and fresh.count() * LEAST < nodes:
+                break
+            drawn = meet.withColumn("draw", F.xxhash64("node", F.lit(turn)))
+            least = drawn.groupBy("key").agg(F.min("draw").alias("draw"))
+            centre = drawn.join(least, ["key", "draw"]).select("key", F.col("node").alias("centre"), F.col("part").alias("own"))
+            pairs = alike(_best(meet.join(centre, "key").where("part <> own")))
+            pairs = own.table(pairs.join(known, ["u", "v"], "left_anti"), "pairs")
+            known = known.unionByName(pairs)
+            fresh = verify(pairs)
+            links = links.unionByName(fresh)
+        known = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        pairs = own.table(_crossing(meet, marks, slack, False), "pairs")
+        links = links.unionByName(verify(pairs.select("u", "v")))
+        part = own.table(components(links), "parts")
+        # Where the likeliest of several was none, the others are tried too.
+        u, v = part.toDF("u", "cu"), part.toDF("v", "cv")
+        rest = pairs.where("more").join(u, "u", "left").join(v, "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)")
+        rest = own.table(rest.select("u").distinct(), "rest")
+        if not rest.count():
+            return own.keep(part)
+        meet = own.table(_apart(meet, part), "meet")
+        held = meet.join(rest.select(F.col("u").alias("node")), "node", "left_semi").select("key").distinct()
+        pairs = _crossing(meet.join(held, "key"), marks, slack, True).join(known, ["u", "v"], "left_anti")
+        links = links.unionByName(verify(own.table(pairs, "pairs")))
+        return own.keep(own.table(components(links), "parts"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-Texts with equal shingle sets are one node.  A shingle's document frequency is
-counted over all nodes and sent back to the nodes that hold it, so each can
-order its shingles by (frequency, hash).  With ``m = n - ceil(t * n)`` the
-shingles that a similar set may lack:
+Texts with equal shingle sets are one node.  A shingle's frequency is counted
+over all nodes and sent back to the nodes that hold it, so each can order its
+shingles by (frequency, hash).  With ``m = n - ceil(t * n)`` the shingles that
+a similar set may lack:
 
 * A node with more than m shingles of its own alone has no similar one.
 * A node whose first m + 1 shingles are all rare indexes those that others
@@ -12,15 +12,20 @@ shingles that a similar set may lack:
   as single tokens and combines those that others have too into bins of about
   two, each bin's combination being one key.  Two similar sets of at most U
   shingles differ in at most ``d = 2 * U * (1 - t) / (1 + t)`` shingles.  Of
-  twice as many bins and two more, the first d + 1 filled ones are indexed, and
-  some bin is equal in both.  Bins are made for a node's size class and the
-  next, so similar sizes meet.
-* Of those, a node of up to ``SMALL`` shingles also indexes its first m + 1 in
-  the order, whatever their frequency.
+  twice as many bins and two more, the first d + 1 filled ones are indexed;
+  some bin is equal in both as long as either set fills so many.  Bins are
+  made for a node's size class and the next, so similar sizes meet.
+* Of those, a node of up to ``SMALL`` shingles, or one that fills too few bins,
+  also indexes its first m + 1 in the order, whatever their frequency.
+
+Shingles that a fiftieth of all nodes have come last in the order and are told
+to every task instead of being counted in one.
 
 Nodes that share a key are candidates, clustered as ``components.cluster``
 says: no link between components is missed, and the pairs inside a group of
-copies are never all made.
+copies are never all made.  A node's mark tells how many shingles it alone has
+and, of the others, the parity of those in each of 64 * MARK cells: two sets
+differ in as many shingles at least as their marks do.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +51,17 @@ LIKE = 80
 RARE = 24
 #: Sizes up to which single frequent shingles are indexed, and from which combinations are.
 SMALL, LARGE = 30, 24
-#: Shingles or keys that one task sorts at once, and that a map task gathers before it sends them.
+#: Shingles that one task sorts at once, about, and that a map task gathers before it sends them.
 TASK_ROWS = 2_000_000
 GATHER = 1_000_000
+#: One in so many nodes of a gathering, and of all, that have a shingle which every task is told of; nodes of a gathering at least.
+LOCAL_HOT, HOT, HOT_LEAST = 100, 50, 16
 #: Ids of candidates that are broadcast at most (8 bytes each); beyond it, the join is shuffled.
 BROADCAST_ROWS = 500_000
 #: Texts verified against one copy of a centre's text, and texts in one task's batch.
 PER_CENTRE, BATCH = 500, 2000
-#: Nodes in a block where pairs are verified one by one.
-BLOCK = 400
-NO_ID = (1 << 63) - 1
+#: Longs of a mark.
+MARK = 16
 
 
 def _misses(n):
@@ -86,60 +92,76 @@ def node_of(found) -> int:
 
 
 def _signatures(batches):
+    """Rows (id, text_key, n, node); a row of negative n tells that a gathering has -n nodes with the shingle in place of the id."""
+    names = ["id", "text_key", "n", "node"]
+    seen, values, held = set(), [], 0
+
+    def common():
+        shingle, count = np.unique(np.concatenate(values), return_counts=True)
+        shingle = shingle[(many := count >= max(HOT_LEAST, len(seen) // LOCAL_HOT))]
+        none = np.zeros(len(shingle), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (tk.signed(shingle), none, -count[many], none)], names)
+
     for batch in batches:
         n, node = [], []
         for found in tk.shingle_sets(batch.column(1)):
             n.append(len(found))
             node.append(node_of(found))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(tk.signed(np.array(node, np.uint64)))], ["id", "n", "node"]
-        )
+            if len(found) and node[-1] not in seen:
+                seen.add(node[-1])
+                values.append(found)
+                held += len(found)
+                if held >= GATHER:
+                    yield common()
+                    seen, values, held = set(), [], 0
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(tk.signed(np.array(node, np.uint64)))], names)
+    if held:
+        yield common()
 
 
-def _sent(name_blobs):
-    if name_blobs:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in name_blobs], pa.int32()), pa.array([x for _, x in name_blobs], pa.binary())], ["bucket", "blob"]
-        )
+def _blobs(rows):
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
 
 
-def _parcels(nodes, sizes, values, bits: int, cut: int):
-    """Lists of values below 2**bits of many nodes -> (bucket, blob) for each of 2**cut ranges of the values."""
-    width = -(-(bits - cut) // 8)
-    row = np.repeat(np.arange(len(nodes)), [len(v) for v in values])
-    values = np.concatenate(values)
-    bucket = (values >> np.uint64(bits - cut)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    values, row = values[order], row[order]
-    edges = np.searchsorted(bucket[order], np.arange((1 << cut) + 1))
-    nodes, sizes = np.asarray(nodes, np.uint64), np.asarray(sizes, np.int64)
-    for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
-        if i < j:
-            first = np.flatnonzero(np.diff(row[i:j], prepend=-1))
-            own = row[i:j][first]
-            runs = np.diff(np.append(first, j - i))
-            low = values[i:j] & np.uint64((1 << (bits - cut)) - 1)
-            yield b, tk.pack(nodes[own].tobytes(), tk.planes(sizes[own], 4), tk.planes(runs, 4), tk.planes(low, width))
-
-
-def _opened(b: int, blobs, bits: int, cut: int):
-    """A bucket's blobs -> values, and the node and size that each belongs to."""
-    width = -(-(bits - cut) // 8)
-    values, nodes, sizes = [], [], []
-    for blob in blobs:
-        node, size, runs, low = tk.unpack(blob.as_py())
-        node = np.frombuffer(node, "<u8")
-        runs = tk.from_planes(runs, len(node), 4).astype(np.int64)
-        nodes.append(np.repeat(node, runs))
-        sizes.append(np.repeat(tk.from_planes(size, len(node), 4).astype(np.int64), runs))
-        values.append(tk.from_planes(low, int(runs.sum()), width))
-    return np.concatenate(values) + (np.uint64(b) << np.uint64(bits - cut)), np.concatenate(nodes), np.concatenate(sizes)
+def _home(gathering: int, cut: int) -> int:
+    """The bucket that a gathering's frequencies come back to."""
+    return int(tk.mix(np.array([gathering], np.uint64))[0] & np.uint64((1 << cut) - 1))
+
 
+def _runs(values):
+    """First places of the runs of equal values, and their ends."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+    return first, np.append(first[1:], len(values))
 
-def _shingled(bits: int, cut: int):
-    """Sends each bucket of shingles the nodes that have them; equal nodes in one gathering send theirs once."""
+
+def _shingled(bits: int, cut: int, hot):
+    """Sends each bucket of shingles those of each gathering with their places in it, and a list of the gathering's nodes.
+
+    Shingles are cut to their first ``bits`` bits.  Equal nodes in one
+    gathering send theirs once; those in ``hot`` are listed with the nodes.
+    """
+    width = -(-(bits - cut) // 8)
+
+    def flush(gathering, nodes, sizes, values):
+        lens = np.array([len(v) for v in values])
+        flat = np.concatenate(values)
+        place = np.arange(len(flat))
+        name = np.array([gathering], "<u8").tobytes()
+        told = np.isin(flat, hot)
+        rank = np.searchsorted(hot, flat[told])
+        out = [(_home(gathering, cut), tk.pack(b"N", name, np.array(nodes, "<u8").tobytes(), tk.planes(np.array(sizes), 5), tk.planes(lens, 5), tk.planes(place[told], 5), tk.planes(rank, 4)))]
+        order = np.argsort(flat, kind="stable")
+        order = order[~told[order]]
+        flat, place = flat[order], place[order]
+        bucket = (flat >> np.uint64(bits - cut)).astype(np.int64)
+        low = flat & np.uint64((1 << (bits - cut)) - 1)
+        for i, j in zip(*_runs(bucket)):
+            steps = np.diff(low[i:j], prepend=np.uint64(0))
+            out.append((int(bucket[i]), tk.pack(b"S", name, tk.planes(steps, width), tk.planes(place[i:j], 5))))
+        return _blobs(out)
 
     def run(batches):
+        part, turn = TaskContext.get().partitionId(), 0
         seen, nodes, sizes, values, held = set(), [], [], [], 0
         for batch in batches:
             for found in tk.shingle_sets(batch.column(1)):
@@ -148,123 +170,133 @@ def _shingled(bits: int, cut: int):
                 seen.add(node)
                 nodes.append(node)
                 sizes.append(len(found))
-                values.append(found >> np.uint64(64 - bits))
+                values.append(tk.distinct(found >> np.uint64(64 - bits)))
                 held += len(found)
                 if held >= GATHER:
-                    yield from _sent(list(_parcels(nodes, sizes, values, bits, cut)))
+                    yield flush((part << 24) + turn, nodes, sizes, values)
+                    turn += 1
                     seen, nodes, sizes, values, held = set(), [], [], [], 0
         if held:
-            yield from _sent(list(_parcels(nodes, sizes, values, bits, cut)))
+            yield flush((part << 24) + turn, nodes, sizes, values)
 
     return run
 
 
 def _counted(bits: int, cut: int):
-    """A bucket's shingles that several nodes have, with their count, sent back to each bucket of nodes."""
-    width = -(-bits // 8)
+    """A bucket's shingles that occur several times, with their count, sent back to each gathering's bucket."""
+    width, full = -(-(bits - cut) // 8), -(-bits // 8)
 
     def run(key, table):
-        t, v, n = _opened(key[0].as_py(), table.column("blob"), bits, cut)
-        order = np.lexsort((v, t))
-        t, v, n = t[order], v[order], n[order].astype(np.int32)
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (v[1:] != v[:-1])])
-        t, v, n = t[new], v[new], n[new]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        df = np.diff(np.append(first, len(t)))
-        df = np.repeat(df, df)
-        keep = df > 1
-        t, v, n, df = t[keep], v[keep], n[keep], df[keep]
-        del new, order, keep
-        order = np.argsort(v, kind="stable")
-        t, v, n, df = t[order], v[order], n[order], df[order]
-        bucket = (v >> np.uint64(64 - cut)).astype(np.int64) if cut else np.zeros(len(v), np.int64)
-        edges = np.searchsorted(bucket, np.arange((1 << cut) + 1))
-        out = []
-        for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
-            if i < j:
-                at = np.flatnonzero(np.concatenate([[True], v[i + 1 : j] != v[i : j - 1]]))
-                runs = np.diff(np.append(at, j - i))
-                out.append((b, tk.pack(v[i:j][at].tobytes(), tk.planes(n[i:j][at], 4), tk.planes(runs, 4), tk.planes(t[i:j], width), tk.planes(df[i:j], 5))))
+        names, values, places, out = [], [], [], []
+        for blob in table.column("blob"):
+            kind, name, *parts = tk.unpack(blob.as_py())
+            if kind == b"N":
+                out.append((key[0].as_py(), blob.as_py()))
+                continue
+            n = len(parts[0]) // width
+            names.append(int(np.frombuffer(name, "<u8")[0]))
+            values.append(np.cumsum(tk.from_planes(parts[0], n, width), dtype=np.uint64))
+            places.append(tk.from_planes(parts[1], n, 5).astype(np.int64))
+        if values:
+            of = np.repeat(np.arange(len(names), dtype=np.int32), [len(v) for v in values])
+            t, p = np.concatenate(values), np.concatenate(places)
+            del values, places
+            order = np.argsort(t, kind="stable")
+            t = t[order]
+            first, end = _runs(t)
+            df = np.repeat(end - first, end - first)
+            order, t, df = order[df > 1], t[df > 1], df[df > 1]
+            of, p = of[order], p[order]
+            t += np.uint64(key[0].as_py()) << np.uint64(bits - cut)
+            order = np.lexsort((p, of))
+            of, p, t, df = of[order], p[order], t[order], df[order]
+            for i, j in zip(*_runs(of)) if len(of) else ():
+                name = names[of[i]]
+                steps = np.diff(p[i:j], prepend=0)
+                out.append((_home(name, cut), tk.pack(b"F", np.array([name], "<u8").tobytes(), tk.planes(steps, 5), tk.planes(t[i:j], full), tk.planes(df[i:j], 5))))
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
 
-def keys_of(n: int, tokens, df):
-    """A node's index keys from the shingles that others have too, by (frequency, hash), and their frequencies."""
-    need = _misses(n) + 1 - (n - len(tokens))
+def keys_of(n: int, tokens, df, need: int):
+    """A node's index keys from the shingles that others have too, by (frequency, hash), and their frequencies.
+
+    ``n`` is the set's size and ``need`` how many of these tokens its prefix of
+    m + 1 holds.
+    """
     if need <= 0:
         return tokens[:0]
     rare = int(np.searchsorted(df, RARE, "right"))
     if rare >= need:
         return tk.mix(tokens[:need])
-    keys = [tk.mix(tokens[: need if n <= SMALL else rare])]
+    single, keys = need if n <= SMALL else rare, []
     if n > LARGE:
         own = int(np.searchsorted(_BOUNDS, n))
         mixed = tk.mix(tokens ^ np.uint64(0xE7037ED1A0B428DB))
         for size_class in (own, own + 1):
             which = (mixed % np.uint64(_bins(size_class))).astype(np.int64)
             order = np.argsort(which, kind="stable")
-            first = np.flatnonzero(np.diff(which[order], prepend=-1))
+            first = _runs(which[order])[0]
             # As many filled bins as may differ, and one: a similar set's first ones hold an equal bin among them.
             sums = np.add.reduceat(mixed[order], first)[: _bins(size_class) // 2]
             first = first[: len(sums)]
             label = which[order][first].astype(np.uint64) + (np.uint64(size_class) << np.uint64(40))
             keys.append(tk.mix(sums ^ tk.mix(label)))
-    return np.concatenate(keys)
+            if len(first) < _bins(size_class) // 2:
+                single = need
+    return np.concatenate([tk.mix(tokens[:single]), *keys])
 
 
-def _indexed(bits: int, kept: int, cut: int):
-    """A bucket of nodes with their shared shingles -> their keys, sent to each bucket of keys."""
-    width = -(-bits // 8)
+def mark_of(tokens):
+    """The parities of the tokens in 64 * MARK cells."""
+    cell = tk.mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * MARK)
+    odd = np.bincount(cell.astype(np.int64), minlength=64 * MARK) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
 
-    def run(key, table):
-        tokens, nodes, sizes, counts = [], [], [], []
-        for blob in table.column("blob"):
-            node, size, runs, low, df = tk.unpack(blob.as_py())
-            node = np.frombuffer(node, "<u8")
-            runs = tk.from_planes(runs, len(node), 4).astype(np.int64)
-            total = int(runs.sum())
-            nodes.append(np.repeat(node, runs))
-            sizes.append(np.repeat(tk.from_planes(size, len(node), 4).astype(np.int64), runs))
-            tokens.append(tk.from_planes(low, total, width))
-            counts.append(tk.from_planes(df, total, 5).astype(np.int64))
-        t, v, n, df = (np.concatenate(x) for x in (tokens, nodes, sizes, counts))
-        order = np.lexsort((t, df, v))
-        t, v, n, df = t[order], v[order], n[order], df[order]
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        own, sizes, keys = [], [], []
-        for i, j in zip(first, np.append(first[1:], len(v))):
-            found = keys_of(int(n[i]), t[i:j], df[i:j])
-            if len(found):
-                own.append(v[i])
-                sizes.append(n[i])
-                keys.append(found >> np.uint64(64 - kept))
-        out = list(_parcels(own, sizes, keys, kept, cut)) if own else []
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
-
-    return run
 
+def _indexed(bits: int, hot, counts):
+    """A bucket of gatherings' nodes with their shared shingles -> (node, n, alone, mark, keys) of those that may have a similar one."""
+    full = -(-bits // 8)
 
-def _meet(kept: int, cut: int):
-    """A bucket's keys that several nodes share: (key, node, centre), the centre being the node whose keys are most shared."""
     def run(key, table):
-        k, v, _ = _opened(key[0].as_py(), table.column("blob"), kept, cut)
-        v = v.view(np.int64)
-        order = np.lexsort((v, k))
-        k, v = k[order], v[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
-        k, v = k[new], v[new]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
-        size = np.diff(np.append(first, len(k)))
-        keep = np.repeat(size > 1, size)
-        _, own = np.unique(v, return_inverse=True)
-        shared = np.bincount(own, np.repeat(size - 1, size))[own]
-        # Rows are in key order: the first of each key when its rows go by how shared they are.
-        top = np.lexsort((v, -shared, np.repeat(np.arange(len(first)), size)))[first]
-        centre = np.repeat(v[top], size)
-        k = k.view(np.int64)
-        return pa.table({"key": k[keep], "node": v[keep], "centre": centre[keep]})
+        bases, nodes, sizes, lens, total = {}, [], [], [], 0
+        where, tokens, freqs, found = [], [], [], []
+        blobs = [tk.unpack(blob.as_py()) for blob in table.column("blob")]
+        for kind, name, *parts in blobs:
+            if kind == b"N":
+                k = len(parts[0]) // 8
+                bases[name] = total
+                nodes.append(np.frombuffer(parts[0], "<u8"))
+                sizes.append(tk.from_planes(parts[1], k, 5).astype(np.int64))
+                lens.append(tk.from_planes(parts[2], k, 5).astype(np.int64))
+                rank = tk.from_planes(parts[4], len(parts[4]) // 4, 4).astype(np.int64)
+                where.append(total + tk.from_planes(parts[3], len(rank), 5).astype(np.int64))
+                tokens.append(hot[rank])
+                freqs.append(counts[rank])
+                total += int(lens[-1].sum())
+        for kind, name, *parts in blobs:
+            if kind == b"F":
+                k = len(parts[0]) // 5
+                where.append(bases[name] + np.cumsum(tk.from_planes(parts[0], k, 5)).astype(np.int64))
+                tokens.append(tk.from_planes(parts[1], k, full))
+                freqs.append(tk.from_planes(parts[2], k, 5).astype(np.int64))
+        del blobs
+        nodes, sizes, lens = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(lens)
+        t, df = np.concatenate(tokens), np.concatenate(freqs)
+        v = np.searchsorted(np.cumsum(lens), np.concatenate(where), "right")
+        order = np.lexsort((t, df, v))
+        t, df, v = t[order], df[order], v[order]
+        alone = lens - np.bincount(v, minlength=len(lens))
+        need = sizes - -(-LIKE * sizes // 100) + 1 - alone
+        for i, j in zip(*_runs(v)) if len(v) else ():
+            k = v[i]
+            if need[k] > 0:
+                keys = keys_of(int(sizes[k]), t[i:j], df[i:j], int(need[k]))
+                found.append((nodes[k].view(np.int64), sizes[k], alone[k], mark_of(t[i:j]), tk.signed(np.unique(keys))))
+        longs = pa.list_(pa.int64())
+        kinds = {"node": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "mark": longs, "keys": longs}
+        return pa.table({c: pa.array([x[i] for x in found], kind) for i, (c, kind) in enumerate(kinds.items())})
 
     return run
 
@@ -289,7 +321,7 @@ def _verify(table):
     centre, of = None, None
     for i in order:
         if int(np.int64(node_of(sets[i]).view(np.int64))) != node[i]:
-            continue  # another row of the same id
+            continue  # another text of the same id and hash
         if node[i] == u[i]:
             centre, of = sets[i], (u[i], salt[i])
         elif of == (u[i], salt[i]) and similar(centre, sets[i]):
@@ -303,97 +335,26 @@ def _power(n: float) -> int:
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (u, v) of nodes that are similar.  A centre with many partners is dealt out in parts, each with a copy of its text."""
-    salted = pairs.join(pairs.groupBy("u").agg(F.count("*").alias("all")), "u")
-    salted = salted.select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("all") / PER_CENTRE)).alias("salt"))
-    salted = scratch.table(salted, "salted")
-    want = salted.select("u", "salt", F.col("v").alias("node")).unionByName(
-        salted.select("u", "salt", F.col("u").alias("node")).distinct()
-    )
-    want = scratch.table(want.join(nodes.select("node", "id"), "node"), "wanted")
-    rows = want.count()
-    side = F.broadcast(want) if rows <= BROADCAST_ROWS else want
-    texts = docs.join(side, "id").select("u", "salt", "node", "text")
-    batch = F.pmod(F.xxhash64("u", "salt"), F.lit(max(1, rows // BATCH)))
-    done = texts.groupBy(batch.alias("batch")).applyInArrow(_verify, "u long, v long")
-    return scratch.table(done.distinct(), "links")
-
-
-def _crossing(blocks: int):
-    """A bucket's keys (key, node, part) -> distinct pairs of nodes of different parts that share one, for each pair of blocks of nodes."""
-
-    def flush(codes, names):
-        codes = np.unique(np.concatenate(codes))
-        pairs = names[np.stack([codes // len(names), codes % len(names)], 1)]
-        block = (tk.mix(pairs.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-        swap = block[:, 0] > block[:, 1]
-        pairs[swap], block[swap] = pairs[swap][:, ::-1], block[swap][:, ::-1]
-        name = block[:, 0] * blocks + block[:, 1]
-        order = np.argsort(name, kind="stable")
-        edges = np.flatnonzero(np.diff(name[order], prepend=-1))
-        for i, j in zip(edges, np.append(edges[1:], len(order))):
-            yield int(name[order[i]]), pairs[order[i:j]].astype("<i8").tobytes()
-
-    def run(key, table):
-        k, node, part = (np.array(table.column(c)) for c in ("key", "node", "part"))
-        names, node = np.unique(node, return_inverse=True)
-        order = np.lexsort((part, k))
-        k, node, part = k[order], node[order], part[order]
-        edges = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
-        out, codes, held = [], [], 0
-        for i, j in zip(edges[:-1], edges[1:]):
-            own = node[i:j]
-            # Each part's nodes against those of the parts after it.
-            first = np.flatnonzero(np.concatenate([[True], part[i + 1 : j] != part[i : j - 1]]))
-            for a, b in zip(first, np.append(first[1:], j - i)):
-                if b < j - i:
-                    x, y = own[a:b][:, None], own[b:][None, :]
-                    codes.append((np.minimum(x, y) * len(names) + np.maximum(x, y)).reshape(-1))
-                    held += len(codes[-1])
-                if held > GATHER:
-                    out += flush(codes, names)
-                    codes, held = [], 0
-        if held:
-            out += flush(codes, names)
-        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "pairs": pa.array([x for _, x in out], pa.binary())})
-
-    return run
-
-
-def _nodes_in(key, table):
-    """The nodes of a pair of blocks that have a pair."""
-    nodes = np.unique(np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("pairs")]))
-    return pa.table({"block": pa.array(np.full(len(nodes), key[0].as_py())), "node": nodes})
-
-
-def _compared(key, left, right):
-    """Pairs of two blocks and the texts of their nodes -> the similar pairs."""
-    if not left.num_rows or not right.num_rows:
-        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-    pairs = np.unique(np.concatenate([np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in left.column("pairs")]), axis=0)
-    sets = {}
-    for found in tk.shingle_sets(right.column("text")):
-        sets[int(np.int64(node_of(found).view(np.int64)))] = found
-    hits = [(u, v) for u, v in pairs.tolist() if u in sets and v in sets and similar(sets[u], sets[v])]
-    return pa.table({"u": pa.array([u for u, _ in hits], pa.int64()), "v": pa.array([v for _, v in hits], pa.int64())})
-
+    with scratch.scope() as own:
+        salted = pairs.join(pairs.groupBy("u").agg(F.count("*").alias("all")), "u")
+        salted = salted.select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("all") / PER_CENTRE)).alias("salt"))
+        want = salted.select("u", "salt", F.col("v").alias("node")).unionByName(
+            salted.select("u", "salt", F.col("u").alias("node")).distinct()
+        )
+        want = own.table(want.join(nodes.select("node", "rep"), "node").select("u", "salt", "node", F.col("rep.id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")), "wanted")
+        rows = want.count()
+        side = F.broadcast(want) if rows <= BROADCAST_ROWS else want
+        texts = docs.join(side, (F.col("text_key") == F.col("rep_key")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("u", "salt", "node", "text")
+        batch = F.pmod(F.xxhash64("u", "salt"), F.lit(max(1, rows // BATCH)))
+        done = texts.groupBy(batch.alias("batch")).applyInArrow(_verify, "u long, v long")
+        return own.keep(own.table(done.distinct(), "links"))
 
-def across(meet: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between nodes of different parts that share a key.
 
-    Nodes are dealt to blocks; a text goes once to each pair of blocks in
-    which its node has a pair, not once to each pair.
-    """
-    rows, n = meet.agg(F.count("*"), F.approx_count_distinct("node")).first()
-    blocks = max(1, n // BLOCK)
-    bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, rows // GATHER)))
-    pairs = meet.groupBy(bucket.alias("bucket")).applyInArrow(_crossing(blocks), "block long, pairs binary")
-    pairs = scratch.table(pairs, "across")
-    want = pairs.groupBy("block").applyInArrow(_nodes_in, "block long, node long").join(nodes.select("node", "id"), "node")
-    want = scratch.table(want.select("block", "id"), "wanted")
-    side = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
-    texts = docs.join(side, "id").select("block", "text")
-    links = pairs.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_compared, "u long, v long")
-    return scratch.table(links.distinct(), "links")
+def slack(a: str, b: str) -> F.Column:
+    """How many shingles two nodes could still differ in, at most, beyond those that their marks tell; negative where they can't be similar."""
+    apart = [F.bit_count(F.col(f"{a}m{k}").bitwiseXOR(F.col(f"{b}m{k}"))) for k in range(MARK)]
+    told = sum(apart, F.col(f"{a}alone") + F.col(f"{b}alone"))
+    return (100 - LIKE) * (F.col(f"{a}n") + F.col(f"{b}n")) - (100 + LIKE) * told
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -401,48 +362,50 @@ def join(docs: DataFrame) -> DataFrame:
 
     Words are runs of bytes other than space and 09-0D, A-Z lower-cased.  A
     null or empty text, or one without words, has an empty set and is a
-    component of its own; repeated rows are linked as equal texts; a null
-    doc_id is a document whose component is named by the least id of the
-    others, or null; an empty table gives no rows; columns other than doc_id
-    and text are left out.
+    component of its own; repeated rows are linked as equal texts, and the
+    least id names a component whatever the ties; a null doc_id is a document
+    whose component is named by the least id of the others, or null; texts of
+    any length are read whole; an empty table gives no rows; columns other
+    than doc_id and text are left out.
     """
-    docs = scratch.columns(docs, "doc_id", "text")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    sig = scratch.table(docs.mapInArrow(_signatures, "id long, n long, node long"), "signatures")
-    nodes = scratch.table(
-        sig.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("id").alias("id"), F.count("*").alias("copies")), "nodes"
-    )
-    total, most = sig.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-
-    bits, cut = min(64, _power(total) + 12), _power(total / TASK_ROWS)
-    parcel = "bucket int, blob binary"
-    sent = docs.mapInArrow(_shingled(bits, cut), parcel)
-    back = sent.groupBy("bucket").applyInArrow(_counted(bits, cut), parcel)
-    keys = total * 0.25 + most
-    kept, key_cut = min(64, _power(keys) + 14), _power(keys / TASK_ROWS)
-    keyed = back.groupBy("bucket").applyInArrow(_indexed(bits, kept, key_cut), parcel)
-    meet = keyed.groupBy("bucket").applyInArrow(_meet(kept, key_cut), "key long, node long, centre long")
-    meet = scratch.table(meet, "meet")
-
-    sized = nodes.select("node", "n")
-    part = components.cluster(meet, lambda pairs: verify(pairs, nodes, docs), lambda pairs: _alike(pairs, sized), lambda rest: across(rest, nodes, docs))
-
-    # Names: the least id of a component.  Nodes of one document alone need none.
-    named = nodes.join(part, "node", "left").where("component IS NOT NULL OR copies > 1")
-    named = named.select("node", "id", F.coalesce("component", "node").alias("part"))
-    least_id = named.groupBy("part").agg(F.min("id").alias("component_id"))
-    names = scratch.table(named.join(least_id, "part").select("node", "component_id"), "names")
-    out = sig.join(names, "node", "left")
-    whole = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    blank = lambda c: F.when(c != NO_ID, c)
-    return out.select(blank(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), blank(whole).alias("component_id"))
-
-
-def _alike(pairs: DataFrame, sized: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    u, v = sized.toDF("u", "nu"), sized.toDF("v", "nv")
-    both = pairs.join(u, "u").join(v, "v")
-    return both.where(f"100 * nu >= {LIKE} * nv AND 100 * nv >= {LIKE} * nu").select("u", "v")
+    with scratch.scope() as own:
+        docs = scratch.columns(docs, "doc_id", "text")
+        docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("text_key"))
+        rows = own.table(docs.mapInArrow(_signatures, "id long, text_key long, n long, node long"), "signatures")
+        sig = rows.where("n >= 0")
+        nodes = sig.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("id").alias("id"), F.min(F.struct("id", "text_key")).alias("rep"), F.count("*").alias("copies"))
+        nodes = own.table(nodes, "nodes")
+        total, most = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+
+        bits, cut = min(64, _power(total) + 12), _power(total / TASK_ROWS)
+        # A fiftieth of the nodes each: at most 50 times the mean size of a set.
+        common = rows.where("n < 0").groupBy("id").agg(F.sum(-F.col("n")).alias("n")).where(F.col("n") * HOT >= most).toArrow()
+        hot = np.array(common["id"], np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        hot, first = np.unique(hot, return_index=True)
+        counts = np.array(common["n"], np.int64)[first] + (1 << 39)  # after all that are counted in full
+
+        parcel = "bucket int, blob binary"
+        sent = docs.mapInArrow(_shingled(bits, cut, hot), parcel)
+        back = sent.groupBy("bucket").applyInArrow(_counted(bits, cut), parcel)
+        found = back.groupBy("bucket").applyInArrow(_indexed(bits, hot, counts), "node long, n long, alone long, mark array<long>, keys array<long>")
+        found = own.table(found, "indexed")
+        marks = found.select("node", "n", "alone", *[F.col("mark")[k].alias(f"m{k}") for k in range(MARK)])
+        marks = own.table(marks.groupBy("node").agg(*[F.min(c).alias(c) for c in marks.columns[1:]]), "marks")
+        keyed = found.select("node", F.explode("keys").alias("key")).distinct()
+        groups = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("high")).where("centre < high")
+        meet = own.table(keyed.join(groups.select("key", "centre"), "key").select("key", "node", "centre"), "meet")
+        own.drop(found)
+        part = components.cluster(meet, marks, slack, lambda pairs: verify(pairs, nodes, docs))
+
+        # Names: the least id of a component.  Nodes of one document alone need none.
+        named = nodes.join(part, "node", "left").where("component IS NOT NULL OR copies > 1")
+        named = named.select("node", "id", F.coalesce("component", "node").alias("part"))
+        least_id = named.groupBy("part").agg(F.min("id").alias("component_id"))
+        names = named.join(least_id, "part").select("node", "component_id")
+        out = sig.join(names, "node", "left")
+        whole = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+        out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), whole.alias("component_id"), "node", "text_key")
+        return own.keep(own.table(out, "joined")).select("doc_id", "n_shingles", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

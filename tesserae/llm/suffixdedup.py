@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from . import textkit as tk
-from .ngramjoin import NO_ID, _power
+from .ngramjoin import _power
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 200
+NO_ID = (1 << 63) - 1
 LEAD = 48
 OFFSETS = LENGTH - LEAD + 1
 GRAM = 8
