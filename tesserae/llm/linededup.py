@@ -1,11 +1,11 @@
 """Fuzzy line deduplication by MinHash (DataFrame functions only).
 
-A line's shingles are its substrings of SHINGLE bytes.  One hash of each
-shingle, combined with K constants by exclusive or, gives K orders; a line's
-signature is the least value in each.  BANDS bands of ROWS of them are keys;
-lines that share a key are candidates, verified by their exact Jaccard
-similarity and joined by union-find.  Of each component's lines the first by
-doc_id and place stays.
+A line's shingles are its substrings of SHINGLE bytes.  ORDERS multipliers give
+as many orders of their hashes, and a line's signature is the least value in
+each.  Each of BANDS names ROWS places of the signature: lines that agree in
+all of them share a key.  Lines that share a key are candidates; those whose
+signatures agree in AGREE places at least are verified by their exact Jaccard
+similarity and joined by union-find.  Of each component's lines the first stays.
 """
 
 from __future__ import annotations
@@ -14,24 +14,43 @@ import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import components, scratch
 
-SHINGLE = 8
-#: A pair of similarity 0.8 shares a key with probability 0.993.
-BANDS, ROWS = 7, 3
+#: Bytes of a shingle: a line of 60 bytes or more may differ in an inner byte.
+SHINGLE = 6
+#: A pair of similarity 0.8 shares a key with probability 0.978, one of 0.85 with 0.994.
+ORDERS, BANDS, ROWS = 16, 12, 4
+#: Places of the signature that a verified pair agrees in: one of similarity 0.8 does with probability 0.998.
+AGREE = 8
 #: Similarity in hundredths.
 LIKE = 80
 #: Hashes of candidate lines that are broadcast at most (8 bytes each); beyond it, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
-NO_ID = (1 << 63) - 1
 
 _rng = random.Random(7)
-_MASKS = [_rng.randrange(-(1 << 63) + 1, 1 << 63) for _ in range(BANDS * ROWS)]
+#: Odd multipliers of 30 bits: products with hashes of 31 bits don't overflow.
+_FACTORS = [_rng.randrange(1 << 29, 1 << 30) * 2 + 1 for _ in range(ORDERS)]
+_MIDDLE = (1 << 48) - 1
 
 
-def _places(line: Column) -> Column:
+def _bands() -> list[list[int]]:
+    """Places of each band: every place in as many bands, and no two bands with more places in common than need be."""
+    used, out = [0] * ORDERS, []
+    for _ in range(BANDS):
+        tries = [_rng.sample(range(ORDERS), ROWS) for _ in range(200)]
+        shared = lambda c: max([len({*c} & {*d}) for d in out], default=0)
+        best = min(tries, key=lambda c: (sum(used[i] for i in c) + 4 * shared(c), sorted(c)))
+        for i in best:
+            used[i] += 1
+        out.append(sorted(best))
+    return out
+
+
+PLACES = _bands()
+
+
+def _starts(line: Column) -> Column:
     """Where a line's shingles start; a line shorter than one is its own."""
     return F.sequence(F.lit(1), F.greatest(F.octet_length(line) - (SHINGLE - 1), F.lit(1)))
 
@@ -39,7 +58,19 @@ def _places(line: Column) -> Column:
 def shingles(line: Column) -> Column:
     """The set of a line's shingle hashes."""
     raw = line.cast("binary")
-    return F.array_distinct(F.transform(_places(line), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
+    return F.array_distinct(F.transform(_starts(line), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
+
+
+def similar(a: Column, b: Column) -> Column:
+    """Whether two lines' shingles have a Jaccard similarity of LIKE hundredths at least."""
+    # A one-element array holds both sets, so each is made once.
+    sets = F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b")))
+
+    def alike(s):
+        n = F.size(F.array_intersect(s["a"], s["b"]))
+        return 100 * n >= LIKE * (F.size(s["a"]) + F.size(s["b"]) - n)
+
+    return F.exists(sets, alike)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -48,88 +79,100 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return out.where(F.trim(F.regexp_replace("line", r"[\x09-\x0D]", "")) != "").withColumn("line_key", F.xxhash64("line"))
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """(line_key, bands) of every distinct line.
+def signatures(lines: DataFrame) -> DataFrame:
+    """(node, m0, m1, ...) of every distinct line, named by its line_key.
 
     A line's shingles are rows of one task only, which the partial aggregate
     reduces to the signature; equal lines of other tasks give the same.
     """
-    each = lines.select("line_key", F.col("line").cast("binary").alias("raw"), F.explode(_places(F.col("line"))).alias("i"))
-    each = each.select("line_key", F.xxhash64(F.substring(F.col("raw"), F.col("i"), F.lit(SHINGLE))).alias("h"))
-    least = [F.expr(f"min(h ^ ({m}L))").alias(f"m{k}") for k, m in enumerate(_MASKS)]
-    sig = each.groupBy("line_key").agg(*least)
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return sig.select("line_key", F.array(*bands).alias("bands"))
+    each = lines.select("line_key", F.col("line").cast("binary").alias("raw"), F.explode(_starts(F.col("line"))).alias("i"))
+    hashed = F.xxhash64(F.substring(F.col("raw"), F.col("i"), F.lit(SHINGLE)))
+    each = each.select(F.col("line_key").alias("node"), F.shiftrightunsigned(hashed, 33).alias("h"))
+    least = [F.min((F.col("h") * f).bitwiseAND(F.lit(_MIDDLE))).alias(f"m{k}") for k, f in enumerate(_FACTORS)]
+    sig = each.groupBy("node").agg(*least)
+    return sig.select("node", *[F.shiftright(f"m{k}", 17).cast("int").alias(f"m{k}") for k in range(ORDERS)])
 
 
-def _verifier(lines: DataFrame, meet: DataFrame):
-    """Checks pairs of candidate lines by their exact similarity."""
-    wanted = scratch.table(meet.select(F.col("node").alias("line_key")).distinct(), "candidates")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = lines.select("line_key", "line").join(side, "line_key", "left_semi")
-    texts = scratch.table(texts.groupBy("line_key").agg(F.min("line").alias("line")), "lines")
+def agreement(a: str, b: str) -> Column:
+    """Places in which two signatures agree, beyond those that they must."""
+    same = [(F.col(f"{a}m{k}") == F.col(f"{b}m{k}")).cast("int") for k in range(ORDERS)]
+    return sum(same[1:], same[0]) - AGREE
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("line_key").alias("u"), F.col("line").alias("a"))
-        b = texts.select(F.col("line_key").alias("v"), F.col("line").alias("b"))
-        both = pairs.join(a, "u").join(b, "v")
-        # A one-element array holds both sets, so each is made once.
-        sets = F.array(F.struct(shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b")))
 
-        def alike(s):
-            n = F.size(F.array_intersect(s["a"], s["b"]))
-            return 100 * n >= LIKE * (F.size(s["a"]) + F.size(s["b"]) - n)
+def _verifier(lines: DataFrame):
+    """Checks pairs of candidate lines by their exact similarity."""
 
-        return scratch.table(both.where(F.exists(sets, alike)).select("u", "v"), "links")
+    def verify(pairs: DataFrame) -> DataFrame:
+        with scratch.scope() as own:
+            wanted = pairs.select(F.explode(F.array("u", "v")).alias("line_key")).distinct()
+            wanted = own.table(wanted, "candidates")
+            side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+            texts = lines.select("line_key", "line").join(side, "line_key", "left_semi").dropDuplicates(["line_key"])
+            texts = own.table(texts, "lines")
+            a = texts.select(F.col("line_key").alias("u"), F.col("line").alias("a"))
+            b = texts.select(F.col("line_key").alias("v"), F.col("line").alias("b"))
+            both = pairs.join(a, "u").join(b, "v")
+            return own.keep(own.table(both.where(similar(F.col("a"), F.col("b"))).select("u", "v"), "links"))
 
     return verify
 
 
-def repeated(lines: DataFrame) -> DataFrame:
-    """(line_key, part, first_id) of every line that has an equal or similar one; first_id names the first document of the part."""
-    sig = scratch.table(_signatures(lines), "signatures")
-    bands = sig.select(F.col("line_key").alias("node"), F.explode("bands").alias("key"))
-    groups = bands.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("high"))
-    groups = scratch.table(groups.where("centre < high").select("key", "centre"), "groups")
-    meet = scratch.table(bands.join(groups, "key").select("key", "node", "centre"), "meet")
-    part = components.cluster(meet, _verifier(lines, meet))
-    counts = lines.groupBy("line_key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-    counts = counts.join(part.withColumnRenamed("node", "line_key"), "line_key", "left")
-    counts = counts.where("n > 1 OR component IS NOT NULL").withColumn("part", F.coalesce("component", "line_key"))
-    counts = scratch.table(counts.select("line_key", "part", "n", "first_id"), "repeated")
-    whole = counts.groupBy("part").agg(F.min("first_id").alias("first_id"))
-    return scratch.table(counts.select("line_key", "part").join(whole, "part").select("line_key", "part", "first_id"), "repeats")
+def parts(lines: DataFrame) -> DataFrame:
+    """(node, component) of the lines, by line_key, that have a similar other one."""
+    with scratch.scope() as own:
+        marks = own.table(signatures(lines), "signatures")
+        keys = [F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in places]) for b, places in enumerate(PLACES)]
+        # Both sides of the join read one exchange.
+        keyed = marks.select("node", F.explode(F.array(*keys)).alias("key")).repartition("key")
+        groups = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("high"))
+        meet = keyed.join(groups.where("centre < high").select("key", "centre"), "key")
+        meet = own.table(meet.select("key", "node", "centre"), "meet")
+        return own.keep(components.cluster(meet, marks, agreement, _verifier(lines)))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents without repeated lines: adds ``n_lines`` and ``n_removed``; n_chars, where there is one, is the new length.
 
     Lines are parts between newlines.  Of equal and similar lines the first
-    stays, by doc_id and then by place; blank lines always stay.  Null texts
-    stay null and have no lines; an empty text is one blank line; rows that
-    share a doc_id count as one document, so repeated rows keep the same; an
-    empty table gives no rows.  Columns other than doc_id, text and n_chars
-    pass through, but for id, text_key, gone, n_lines and n_removed, which are
-    this operator's own.
+    stays, by doc_id (those without one last), the text's hash and place; blank
+    lines always stay.  Null texts stay null and have no lines; an empty text
+    is one blank line; repeated rows of one doc_id and text count as one
+    document, so all of them keep the same; an empty table gives no rows.  A
+    text of any length is read whole; a line's shingles are made row by row.
+    All other columns pass through, whatever their names; n_lines and n_removed
+    are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars", "id", "text_key", "gone", "n_lines", "n_removed")]
-    keyed = docs.select("doc_id", "text", *[F.col(f"`{c}`") for c in rest]).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    keyed = keyed.withColumn("text_key", F.xxhash64("text"))
-    lines = lines_of(keyed)
-    found = lines.select("id", "text_key", "place", "line_key").join(repeated(lines), "line_key")
-    first = F.min("place").over(Window.partitionBy("id", "text_key", "part"))
-    found = found.withColumn("again", (F.col("id") != F.col("first_id")) | (F.col("place") > first)).where("again")
-    gone = scratch.table(found.groupBy("id", "text_key").agg(F.collect_set("place").alias("gone")), "gone")
-    out = keyed.join(gone, ["id", "text_key"], "left").withColumn("parts", F.split("text", "\n", -1))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size("parts")).otherwise(0).cast("long"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.col("parts")[i]), "\n")
-    out = out.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed")))
-    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", "text", "n_chars", *rest)], "n_lines", "n_removed")
+    with scratch.scope() as own:
+        keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("text_key"))
+        lines = lines_of(keyed)
+        part = parts(lines)
+        doc = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+        counts = lines.groupBy("line_key").agg(F.count("*").alias("n"), F.min(doc).alias("first"))
+        counts = counts.join(part.withColumnRenamed("node", "line_key"), "line_key", "left")
+        counts = counts.where("n > 1 OR component IS NOT NULL").withColumn("part", F.coalesce("component", "line_key"))
+        counts = own.table(counts.select("line_key", "part", "first"), "repeated")
+        whole = counts.groupBy("part").agg(F.min("first").alias("first"))
+        repeats = counts.select("line_key", "part").join(whole, "part")
+        found = lines.select("id", "text_key", "place", "line_key").join(repeats, "line_key")
+        # Of each document the places of a part: all go but the first one in the part's first document.
+        held = found.groupBy("id", "text_key", "part").agg(F.collect_set("place").alias("places"), F.min("place").alias("least"), F.first("first").alias("first"))
+        first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_key") == F.col("text_key"))
+        going = F.when(first, F.array_remove("places", F.col("least"))).otherwise(F.col("places"))
+        gone = held.groupBy("id", "text_key").agg(F.flatten(F.collect_list(going)).alias("gone")).where(F.size("gone") > 0)
+        gone = own.keep(own.table(gone.select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone"), "gone"))
+    out = keyed.join(gone, (F.col("text_key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
+    split = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
+    # A one-element array holds the lines, so they are split once.
+    kept = F.transform(F.array(split), lambda s: F.array_join(F.transform(left, lambda i: s[i]), "\n"))[0]
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    out = out.select("row", new.alias("text"), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    passed = [made[c] if c in made else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*[v.alias(c) for v, c in zip(passed, names)], "n_lines", "n_removed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
