@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Far below the resolution of the single-precision arithmetic that results are compared with.
+TIE = 1e-7
+
+
 def _screen(b, s):
     return b + s - b * s
 
@@ -88,8 +92,8 @@ def blend(mode: str, b: list[Column], s: list[Column]) -> list[Column]:
 
 
 def quantise(v: Column) -> Column:
-    """0..1 to 0..255, halves up."""
-    return F.floor(_unit(v) * 255 + 0.5).cast("int")
+    """0..1 to 0..255, halves up; what lies within TIE of a half counts as one, however its sum was rounded."""
+    return F.floor(_unit(v) * 255 + (0.5 + TIE)).cast("int")
 
 
 #: The separable modes in SQL.

@@ -5,25 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import adjust, blend
+from ..functions import blend
 from ..operators import library, raster
-from ..sources.adapters import ITEMS_SQL, PX_SQL, SIDE, catalogue, pixels
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-RGB = raster.CHANNELS
-
-
-def _pixel_query(name: str, make, sql: str, more: str = ""):
-    """A query on rasters; ``sql`` selects from px."""
-    QUERIES[name] = lambda spark, sf_dir: make(pixels(spark, sf_dir))
-    ORACLES[name] = f"WITH {PX_SQL}{more} {sql}"
-
-
-def _item_query(name: str, make, sql: str, more: str = ""):
-    QUERIES[name] = lambda spark, sf_dir: make(catalogue(spark, sf_dir))
-    ORACLES[name] = f"WITH {ITEMS_SQL}{more} {sql}"
-
+from ..sources.adapters import SIDE, pixels
+from .common import ORACLES, QUERIES, RGB, item_query as _item_query, pixel_query as _pixel_query
 
 def _two(px: DataFrame) -> DataFrame:
     """Each pixel with the one mirrored left to right as a second layer's."""
@@ -40,7 +25,7 @@ def _quantised(px: DataFrame, channels) -> DataFrame:
 
 
 def _q(expression: str) -> str:
-    return f"floor(least(1, greatest(0, {expression})) * 255 + 0.5)::INT"
+    return f"floor(least(1, greatest(0, {expression})) * 255 + 0.5000001::DOUBLE)::INT"
 
 
 def _blend(mode: str):
@@ -63,42 +48,6 @@ for _mode in ("hue", "saturation", "color", "luminosity"):
     QUERIES[f"blend_{_mode}"] = lambda spark, sf_dir, mode=_mode: _blend(mode)(pixels(spark, sf_dir))
 
 
-def _adjust(change):
-    return lambda px: _quantised(px, change(raster.unit(px)))
-
-
-def _each(expression: str) -> str:
-    return "SELECT img, x, y, " + ", ".join(f"{_q(expression.format(c=f'({c} / 255.0::DOUBLE)'))} AS {c}" for c in RGB) + " FROM px"
-
-
-_pixel_query("adjust_invert", _adjust(adjust.invert), "SELECT img, x, y, 255 - r AS r, 255 - g AS g, 255 - b AS b FROM px")
-_pixel_query("adjust_posterize", _adjust(lambda c: adjust.posterize(c, 4)), _each("least(floor({c} * 4), 3) / 3"))
-_LUMA = "(0.299::DOUBLE * (r / 255.0::DOUBLE) + 0.587::DOUBLE * (g / 255.0::DOUBLE) + 0.114::DOUBLE * (b / 255.0::DOUBLE))"
-_CUT = f"CASE WHEN {_LUMA} >= 128 / 255.0::DOUBLE THEN 255 ELSE 0 END"
-_pixel_query("adjust_threshold", _adjust(lambda c: adjust.threshold(c, 128)), f"SELECT img, x, y, {_CUT} AS r, {_CUT} AS g, {_CUT} AS b FROM px")
-_pixel_query(
-    "adjust_levels", _adjust(lambda c: adjust.levels(c, 0.1, 0.9, 1.0, 0.05, 0.95)),
-    _each("0.05::DOUBLE + (0.95::DOUBLE - 0.05::DOUBLE) * least(1, greatest(0, ({c} - 0.1::DOUBLE) / (0.9::DOUBLE - 0.1::DOUBLE)))"),
-)
-_MIX = ((70, 20, 10, 0), (0, 100, 0, 5), (-20, 30, 90, 0))
-_U = ["(r / 255.0::DOUBLE)", "(g / 255.0::DOUBLE)", "(b / 255.0::DOUBLE)"]
-_pixel_query(
-    "adjust_channel_mixer", _adjust(lambda c: adjust.channel_mixer(c, _MIX)),
-    "SELECT img, x, y, " + ", ".join(
-        f"{_q(f'({m[0]} * {_U[0]} + {m[1]} * {_U[1]} + {m[2]} * {_U[2]} + {m[3]}) / 100')} AS {c}" for m, c in zip(_MIX, RGB)) + " FROM px",
-)
-_TINT = (0.925, 0.541, 0.0)
-_pixel_query(
-    "adjust_photo_filter", _adjust(lambda c: adjust.photo_filter(c, _TINT, 0.25)),
-    "SELECT img, x, y, " + ", ".join(f"{_q(f'{u} * 0.75::DOUBLE + {u} * {k}::DOUBLE * 0.25::DOUBLE')} AS {c}" for u, k, c in zip(_U, _TINT, RGB)) + " FROM px",
-)
-_DARK, _LIGHT = (0.1, 0.0, 0.3), (1.0, 0.9, 0.6)
-_pixel_query(
-    "adjust_gradient_map", _adjust(lambda c: adjust.gradient_map(c, _DARK, _LIGHT)),
-    "SELECT img, x, y, " + ", ".join(
-        f"{_q(f'{a}::DOUBLE + ({z}::DOUBLE - {a}::DOUBLE) * {_LUM.format(chr(0)[:0])}')} AS {c}" for a, z, c in zip(_DARK, _LIGHT, RGB)) + " FROM px",
-)
-
 _pixel_query("image_crop", lambda px: raster.crop(px, 8, 4, 40, 30), "SELECT img, x - 8 AS x, y - 4 AS y, r, g, b FROM px WHERE x >= 8 AND x < 48 AND y >= 4 AND y < 34")
 _pixel_query("image_flip", lambda px: raster.flip(px, SIDE), "SELECT img, 63 - x AS x, y, r, g, b FROM px")
 _pixel_query(
@@ -186,9 +135,9 @@ _pixel_query(
 
 
 def composite(px: DataFrame) -> DataFrame:
-    """A base under a levels adjustment, multiplied by a second layer at half opacity inside a mask."""
+    """A base with its levels stretched, multiplied by a second layer at half opacity inside a mask."""
     both = _two(px)
-    base = adjust.levels(raster.unit(both), 0.1, 0.9)
+    base = [blend._unit((v - 0.1) / (0.9 - 0.1)) for v in raster.unit(both)]
     over = blend.blend("multiply", base, raster.unit(both, "s_"))
     k = F.when(_new() > 0, 0.5).otherwise(0.0)
     return _quantised(both, [b * (1 - k) + o * k for b, o in zip(base, over)])

@@ -27,6 +27,8 @@ def same(spark, db, query, sql: str, sf: str) -> tuple[bool, str]:
     if names != expected_names:
         return False, f"columns {names} against {expected_names}"
     if got != expected:
-        apart = sum(a != b for a, b in zip(got, expected))
-        return False, f"{len(got)} rows against {len(expected)}, {apart} apart: {[x for x in zip(got, expected) if x[0] != x[1]][:2]}"
+        from collections import Counter
+
+        more, less = Counter(got) - Counter(expected), Counter(expected) - Counter(got)
+        return False, f"{len(got)} rows against {len(expected)}, {more.total()} apart: {sorted(more)[:2]} against {sorted(less)[:2]}"
     return True, ""
