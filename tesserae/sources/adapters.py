@@ -18,19 +18,39 @@ px AS (
   SELECT img, x::INT AS x, y::INT AS y, l[x + 1]::INT AS r, l[(x + 1) % 64 + 1]::INT AS g, l[(x + 2) % 64 + 1]::INT AS b FROM v)"""
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One opaque image a label: a row of 64 pixels a vector, (img, x, y, r, g, b) with channels 0..255."""
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of 64 levels a vector: (img, y, l)."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     order = Window.partitionBy("label").orderBy("vec_id")
     level = lambda f: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((f.cast("double") + 0.6) / 1.2 * 255 + 0.5))).cast("int")
-    rows = rows.select(
+    return rows.select(
         F.col("label").alias("img"), (F.row_number().over(order) - 1).alias("y"), F.transform("embedding", level).alias("l")
     )
-    rows = rows.select("img", "y", "l", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("x"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One opaque image a label: a row of 64 pixels a vector, (img, x, y, r, g, b) with channels 0..255."""
+    rows = lines(spark, sf_dir).select("img", "y", "l", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("x"))
     at = lambda k: F.col("l")[(F.col("x") + k) % SIDE]
     return rows.select("img", "x", "y", at(0).alias("r"), at(1).alias("g"), at(2).alias("b"))
 
 
+#: Layers of a document in SQL: la (opaque), lb, lc and ld with alpha, and a mask m, all in 0..1.
+LAYERED_SQL = PX_SQL + """, doc AS (SELECT img, x::INT AS x, y::INT AS y, """ + ", ".join(
+    f"l[(x + {3 * k + j}) % 64 + 1] / 255.0::DOUBLE AS l{n}_{c}" if n != "a" or c != "a" else "1.0::DOUBLE AS la_a"
+    for k, n in enumerate("abcd") for j, c in enumerate("rgba")
+) + ", l[(x * 7 + 5) % 64 + 1] / 255.0::DOUBLE AS m FROM v)"
+
+
+def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of one document a label, with the channels of four layers la, lb, lc, ld and a mask m in 0..1; la is opaque."""
+    rows = lines(spark, sf_dir).select("img", "y", "l", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("x"))
+    at = lambda k: F.col("l")[k % SIDE] / 255.0
+    made = {f"l{n}_{c}": at(F.col("x") + 3 * k + j) for k, n in enumerate("abcd") for j, c in enumerate("rgba")}
+    made["la_a"] = F.lit(1.0)
+    return rows.select("img", "x", "y", *[v.alias(c) for c, v in made.items()], at(F.col("x") * 7 + 5).alias("m"))
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as catalogue items: path, kind, camera, capture time, sharpness, rating and flag."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
