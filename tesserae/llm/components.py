@@ -10,7 +10,7 @@ from . import scratch
 #: Nodes of one key that meet in one cell at most, about; a larger key is dealt out to pairs of its blocks.
 CELL = 2000
 #: Rounds of new centres at most; of the nodes that share a key across components, one in so many must gain a link for another one.
-ROUNDS, LEAST = 16, 20
+ROUNDS, LEAST = 16, 100
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,13 +40,6 @@ def _mark(edges: DataFrame) -> tuple:
     )
 
 
-def _best(meet: DataFrame) -> DataFrame:
-    """For each node the centre that it shares most keys with, as pairs (u, v) of centre and node."""
-    best = meet.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
-    best = best.groupBy("node").agg(F.max(F.struct("shared", "centre"))["centre"].alias("centre"))
-    return best.select(F.col("centre").alias("u"), F.col("node").alias("v"))
-
-
 def _once(meet: DataFrame) -> DataFrame:
     """Of keys that the same nodes share, one: the others, as those of a passage's further words, pair nobody else."""
     node = [F.xxhash64("node", F.lit(k)) for k in range(2)]
@@ -100,10 +93,11 @@ def cluster(meet: DataFrame, marks: DataFrame, slack, verify) -> DataFrame:
     where two nodes can't be linked.  ``verify`` keeps the links of pairs
     (u, v).
 
-    Every node is verified against one centre, the one that it shares most
-    keys with.  While that finds links, each key draws a new centre, which
-    every node outside its component is verified against; so a group of copies
-    grows together in a few rounds, each as large as the memberships.  For
+    Every node is verified against one centre, the likeliest by the marks of
+    those that its keys have.  While that finds links, each key draws a new
+    centre, and every node outside its component is verified against one
+    again; so a group of copies grows together in a few rounds, each as large
+    as the memberships.  For
     what then still shares a key across components, the marks of each pair are
     compared, in cells of bounded size, and those that may be linked verified:
     first the likeliest of each node and component, then all that are left.
@@ -112,11 +106,14 @@ def cluster(meet: DataFrame, marks: DataFrame, slack, verify) -> DataFrame:
     with scratch.scope() as own:
         meet = own.table(_once(meet), "meet")
 
-        def alike(pairs):
+        def nearest(found):
+            """Of the centres of a node's keys the likeliest, as pairs (u, v) of centre and node."""
+            pairs = found.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
             both = pairs.join(_named(marks, "a_"), F.col("u") == F.col("a_node")).join(_named(marks, "b_"), F.col("v") == F.col("b_node"))
-            return both.where(slack("a_", "b_") >= 0).select("u", "v")
+            both = both.withColumn("left", slack("a_", "b_")).where("left >= 0")
+            return both.groupBy("v").agg(F.max(F.struct("left", "u"))["u"].alias("u")).select("u", "v")
 
-        known = own.table(alike(_best(meet)), "pairs")
+        known = own.table(nearest(meet), "pairs")
         links = verify(known)
         for turn in range(ROUNDS + 1):
             part = own.table(components(links), "parts")
@@ -129,7 +126,7 @@ def cluster(meet: DataFrame, marks: DataFrame, slack, verify) -> DataFrame:
             drawn = meet.withColumn("draw", F.xxhash64("node", F.lit(turn)))
             least = drawn.groupBy("key").agg(F.min("draw").alias("draw"))
             centre = drawn.join(least, ["key", "draw"]).select("key", F.col("node").alias("centre"), F.col("part").alias("own"))
-            pairs = alike(_best(meet.join(centre, "key").where("part <> own")))
+            pairs = nearest(meet.join(centre, "key").where("part <> own"))
             pairs = own.table(pairs.join(known, ["u", "v"], "left_anti"), "pairs")
             known = known.unionByName(pairs)
             fresh = verify(pairs)
