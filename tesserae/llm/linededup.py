@@ -21,8 +21,8 @@ from . import components, scratch
 SHINGLE = 6
 #: A pair of similarity 0.8 shares a key with probability 0.978, one of 0.85 with 0.994.
 ORDERS, BANDS, ROWS = 16, 12, 4
-#: Places of the signature that a verified pair agrees in: one of similarity 0.8 does with probability 0.998.
-AGREE = 8
+#: Places of the signature that a verified pair agrees in: one of similarity 0.8 does with probability 0.993.
+AGREE = 9
 #: Similarity in hundredths.
 LIKE = 80
 #: Hashes of candidate lines that are broadcast at most (8 bytes each); beyond it, the join is shuffled.
