@@ -41,8 +41,8 @@ GATHER = 200_000
 WINDOWS = 20_000
 TASK_ROWS = 2_000_000
 TASK_WINDOWS = 40_000
-#: Documents sampled for the splitters, by hash.
-SAMPLE = 2000
+#: Documents sampled for the splitters, by hash: so many at least, and so many for each bucket.
+SAMPLE, PER_BUCKET = 2000, 4
 
 
 def _prefix(data):
@@ -405,10 +405,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shared = scratch.table(shared, "shared")
     n = shared.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0))).first()[0] // 8
 
-    few = F.pmod(F.col("text_key"), F.lit(max(1, rows // SAMPLE))) == 0
+    parts = int(max(1, n // TASK_WINDOWS))
+    few = F.pmod(F.col("text_key"), F.lit(max(1, rows // max(SAMPLE, PER_BUCKET * parts)))) == 0
     leads = long.where(few).select("text").mapInArrow(_leads, "lead binary").toArrow()["lead"].to_pylist()
     leads = np.sort(np.array(leads, "S16"))
-    parts = int(max(1, n // TASK_WINDOWS))
     cuts = np.unique(leads[np.arange(1, parts) * len(leads) // parts]) if len(leads) else leads
     cutter = _cutter(cuts, parts)
 
