@@ -17,18 +17,6 @@ def view(items: DataFrame, min_rating: int = 0, kinds: list[str] | None = None,
     return marked.where(wanted[flag]) if flag != "all" else marked
 
 
-def judged(items: DataFrame) -> DataFrame:
-    """Sharpness relative to the camera's median, or to the median of all where a camera has fewer than three, and a badge."""
-    by_camera = items.groupBy("camera").agg(F.median("sharpness").alias("own"), F.count("sharpness").alias("n"))
-    overall = items.agg(F.median("sharpness").alias("every"))
-    # One row.
-    joined = items.join(by_camera, "camera").join(F.broadcast(overall), F.lit(True))
-    usual = F.when(F.col("n") >= 3, F.col("own")).otherwise(F.col("every"))
-    relative = F.col("sharpness") / F.nullif(usual, F.lit(0.0))
-    badge = F.when(relative < 0.5, "blurry").otherwise("")
-    return joined.select("path", F.round(relative, 6).alias("relative"), badge.alias("badge"))
-
-
 def bursts(items: DataFrame, seconds: int) -> DataFrame:
     """Runs of a camera's items no more than ``seconds`` apart, numbered by camera, and the sharpest of each."""
     order = Window.partitionBy("camera").orderBy("capture", "path")
@@ -39,11 +27,6 @@ def bursts(items: DataFrame, seconds: int) -> DataFrame:
     return runs.select("path", "camera", "burst", size.alias("size"), (F.row_number().over(best) == 1).alias("best"))
 
 
-def rejects(items: DataFrame) -> DataFrame:
-    """Unflagged items that are blurry."""
-    return items.where("flag = 0").join(judged(items).where("badge = 'blurry'"), "path").select("path", "relative")
-
-
 def named(items: DataFrame) -> DataFrame:
     """Export names from kind, date and rating, made unique without regard to case by -2, -3 and so on."""
     stem = F.concat_ws("_", F.lower("kind"), F.date_format("capture", "yyyyMMdd"), F.col("rating").cast("string"))

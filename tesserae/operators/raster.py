@@ -33,10 +33,12 @@ def rotate(px: DataFrame) -> DataFrame:
     return rows.select("img", (F.col("h") - 1 - F.col("y")).alias("x"), F.col("x").alias("y"), *CHANNELS)
 
 
-def trim(px: DataFrame, level: int) -> DataFrame:
-    """Bounds of the pixels brighter than ``level``."""
-    lit = px.where(F.greatest(*CHANNELS) > level).groupBy("img")
-    return lit.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+def trim(px: DataFrame) -> DataFrame:
+    """Images cropped to the bounds of what is not transparent; one that is all transparent gives no rows."""
+    box = px.where("a <> 0").groupBy("img").agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"))
+    # One row an image.
+    rows = px.join(F.broadcast(box), "img").where(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1")))
+    return rows.withColumns({"x": F.col("x") - F.col("_x0"), "y": F.col("y") - F.col("_y0")}).drop("_x0", "_y0", "_x1", "_y1")
 
 
 def pixelate(px: DataFrame, cell: int) -> DataFrame:
@@ -72,14 +74,6 @@ def extreme(px: DataFrame, radius: int, largest: bool) -> DataFrame:
     return px
 
 
-def edges(px: DataFrame) -> DataFrame:
-    """Absolute 4-neighbour Laplacian of the luma, neighbours beyond the edge being the pixel itself."""
-    px = px.select("img", "x", "y", F.floor(0.3 * F.col("r") + 0.59 * F.col("g") + 0.11 * F.col("b") + 0.5).cast("int").alias("l"))
-    row, column = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
-    around = [F.coalesce(f("l").over(w), F.col("l")) for w in (row, column) for f in (F.lag, F.lead)]
-    return px.select("img", "x", "y", F.abs(sum(around[1:], around[0]) - 4 * F.col("l")).alias("edge"))
-
-
 def rectangle(x: int, y: int, width: int, height: int) -> Column:
     """Coverage 0 or 255 of a rectangle."""
     return F.when(F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1), 255).otherwise(0)
@@ -127,7 +121,7 @@ def clip_points(px: DataFrame, share: float) -> DataFrame:
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Mean absolute error of two images over their common pixels, and the share of pixels that differ by over 2 in a channel."""
+    """Mean absolute error of two images over their common pixels, and the number of pixels that differ by over 2 in a channel."""
     both = a.alias("a").join(b.alias("b"), ["img", "x", "y"])
     apart = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in CHANNELS]
     rows = both.select("img", sum(apart[1:], apart[0]).alias("d"), F.greatest(*apart).alias("m"))

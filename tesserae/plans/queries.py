@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import blend
 from ..operators import library, raster
-from ..sources.adapters import SIDE, pixels
-from .common import ORACLES, QUERIES, RGB, item_query as _item_query, pixel_query as _pixel_query
+from ..sources.adapters import PX_SQL, SIDE, pixels, translucent
+from . import culling, editing, filters, relational, selections, stacks, tones  # noqa: F401, they register their queries
+from .common import ORACLES, QUERIES, RGB
+from .common import item_query as _item_query
+from .common import pixel_query as _pixel_query
+
 
 def _two(px: DataFrame) -> DataFrame:
     """Each pixel with the one mirrored left to right as a second layer's."""
@@ -44,20 +48,35 @@ _LUM = "(0.3::DOUBLE * ({0}r / 255.0::DOUBLE) + 0.59::DOUBLE * ({0}g / 255.0::DO
 for _mode, _sign in (("darker-color", "<"), ("lighter-color", ">")):
     _columns = ", ".join(f"CASE WHEN {_LUM.format('s_')} {_sign} {_LUM.format('')} THEN s_{c} ELSE {c} END AS {c}" for c in RGB)
     _pixel_query(f"blend_{_mode.replace('-', '_')}", _blend(_mode), f"SELECT img, x, y, {_columns} FROM two", TWO_SQL)
-for _mode in ("hue", "saturation", "color", "luminosity"):
-    QUERIES[f"blend_{_mode}"] = lambda spark, sf_dir, mode=_mode: _blend(mode)(pixels(spark, sf_dir))
 
 
+def _whole_sql(mode: str) -> str:
+    """The four modes that exchange luminosity and saturation, step by step: the colour to take (c), the luminosity to give it, then back into 0..1."""
+    b, t = [f"({c} / 255.0::DOUBLE)" for c in RGB], [f"(s_{c} / 255.0::DOUBLE)" for c in RGB]
+    lum = lambda v: f"(0.3::DOUBLE * {v[0]} + 0.59::DOUBLE * {v[1]} + 0.11::DOUBLE * {v[2]})"
+    span = lambda v: f"(greatest({', '.join(v)}) - least({', '.join(v)}))"
+    given = lambda v, n: [f"CASE WHEN {span(v)} > 0 THEN ({x} - least({', '.join(v)})) * {n} / {span(v)} ELSE 0.0::DOUBLE END" for x in v]
+    c, light = {"hue": (given(t, span(b)), lum(b)), "saturation": (given(b, span(t)), lum(b)), "color": (t, lum(b)), "luminosity": (b, lum(t))}[mode]
+    steps = ", c0 AS (SELECT img, x, y, " + ", ".join(f"{e} AS {n}" for e, n in zip(c, RGB)) + f", {light} AS to_l FROM two)"
+    steps += f", c1 AS (SELECT img, x, y, to_l, " + ", ".join(f"{n} + to_l - {lum(RGB)} AS {n}" for n in RGB) + " FROM c0)"
+    steps += f", c2 AS (SELECT *, {lum(RGB)} AS g0, least(r, g, b) AS lo, greatest(r, g, b) AS hi FROM c1)"
+    steps += ", c3 AS (SELECT img, x, y, g0, hi, " + ", ".join(f"CASE WHEN lo < 0 THEN g0 + ({n} - g0) * g0 / (g0 - lo) ELSE {n} END AS {n}" for n in RGB) + " FROM c2)"
+    return TWO_SQL + steps + ", c4 AS (SELECT img, x, y, " + ", ".join(f"CASE WHEN hi > 1 THEN g0 + ({n} - g0) * (1 - g0) / (hi - g0) ELSE {n} END AS {n}" for n in RGB) + " FROM c3)"
+
+
+for _mode in ("hue", "saturation", "color", "luminosity"):
+    _pixel_query(f"blend_{_mode}", _blend(_mode), "SELECT img, x, y, " + ", ".join(f"{_q(c)} AS {c}" for c in RGB) + " FROM c4", _whole_sql(_mode))
+
 _pixel_query("image_crop", lambda px: raster.crop(px, 8, 4, 40, 30), "SELECT img, x - 8 AS x, y - 4 AS y, r, g, b FROM px WHERE x >= 8 AND x < 48 AND y >= 4 AND y < 34")
 _pixel_query("image_flip", lambda px: raster.flip(px, SIDE), "SELECT img, 63 - x AS x, y, r, g, b FROM px")
 _pixel_query(
     "image_rotate", raster.rotate,
     "SELECT img, (SELECT max(y) FROM px q WHERE q.img = px.img) - y AS x, x AS y, r, g, b FROM px",
 )
-_pixel_query(
-    "image_trim", lambda px: raster.trim(px, 200),
-    "SELECT img, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM px WHERE greatest(r, g, b) > 200 GROUP BY img",
-)
+QUERIES["image_trim"] = lambda spark, sf_dir: raster.trim(translucent(pixels(spark, sf_dir)).withColumn("a", F.when(F.col("x").between(9, 50) & (F.col("y") > 4), F.col("a")).otherwise(0)))
+ORACLES["image_trim"] = f"""WITH {PX_SQL}{filters.ALPHA}, pb AS (SELECT * EXCLUDE (a), CASE WHEN x BETWEEN 9 AND 50 AND y > 4 THEN a ELSE 0 END AS a FROM pa),
+  bd AS (SELECT img, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pb WHERE a <> 0 GROUP BY img)
+  SELECT img, x - x0 AS x, y - y0 AS y, r, g, b, a FROM pb JOIN bd USING (img) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"""
 _pixel_query(
     "filter_pixelate", lambda px: raster.pixelate(px, 8),
     "SELECT img, x, y, " + ", ".join(f"floor(avg({c}) OVER w + 0.5)::INT AS {c}" for c in RGB) + " FROM px WINDOW w AS (PARTITION BY img, x // 8, y // 8)",
@@ -77,14 +96,6 @@ for _name, _large in (("maximum", True), ("minimum", False)):
         f"filter_{_name}", lambda px, large=_large: raster.extreme(px, 2, large),
         "SELECT img, x, y, " + ", ".join(f"{_f}({c}) AS {c}" for c in RGB) + " FROM near GROUP BY img, x, y", _NEAR,
     )
-_pixel_query(
-    "filter_find_edges", raster.edges,
-    """SELECT p.img, p.x, p.y, abs(coalesce(lag(l) OVER h, l) + coalesce(lead(l) OVER h, l) + coalesce(lag(l) OVER v, l)
-         + coalesce(lead(l) OVER v, l) - 4 * l) AS edge
-       FROM g p WINDOW h AS (PARTITION BY img, y ORDER BY x), v AS (PARTITION BY img, x ORDER BY y)""",
-    ", g AS (SELECT img, x, y, floor(0.3::DOUBLE * r + 0.59::DOUBLE * g + 0.11::DOUBLE * b + 0.5)::INT AS l FROM px)",
-)
-
 
 
 def _old():
@@ -158,11 +169,6 @@ _item_query(
     "library_view", lambda i: library.view(i, 3, ["click", "view", "purchase"], "not-rejected").select("path", "kind", "rating", "flag"),
     "SELECT path, kind, rating, flag FROM items WHERE rating >= 3 AND kind IN ('click', 'view', 'purchase') AND flag <> -1",
 )
-_JUDGED = """, cam AS (SELECT camera, median(sharpness) AS own, count(sharpness) AS n FROM items GROUP BY camera),
-j AS (SELECT path, flag, round(sharpness / nullif(CASE WHEN n >= 3 THEN own ELSE (SELECT median(sharpness) FROM items) END, 0), 6) AS relative,
-        sharpness / nullif(CASE WHEN n >= 3 THEN own ELSE (SELECT median(sharpness) FROM items) END, 0) < 0.5 AS soft FROM items JOIN cam USING (camera))"""
-_item_query("library_judge", library.judged, "SELECT path, relative, CASE WHEN soft THEN 'blurry' ELSE '' END AS badge FROM j", _JUDGED)
-_item_query("library_rejects", library.rejects, "SELECT path, relative FROM j WHERE flag = 0 AND soft", _JUDGED)
 _item_query(
     "library_bursts", lambda i: library.bursts(i, 3600),
     """SELECT path, camera, burst, count(*) OVER (PARTITION BY camera, burst) AS size,

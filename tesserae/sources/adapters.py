@@ -63,3 +63,28 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS_SQL = """items AS (
   SELECT event_id AS path, event_type AS kind, user_id AS camera, ts AS capture, value AS sharpness,
          (event_id % 6)::INT AS rating, (event_id % 3 - 1)::INT AS flag FROM events)"""
+
+
+def translucent(px: DataFrame) -> DataFrame:
+    """The rasters with an alpha made from place and colour."""
+    return px.withColumn("a", ((F.col("r") + 2 * F.col("g") + F.col("x")) % 256).cast("int"))
+
+
+#: Signals of events taken for images, in SQL.
+SIGNALS_SQL = """s0 AS (SELECT event_id AS path, nullif(user_id % 7, 6) AS camera, value AS sharpness, (event_id % 101) / 100.0::DOUBLE AS mean, (event_id % 13) / 40.0::DOUBLE AS clip_low,
+  (event_id % 17) / 60.0::DOUBLE AS clip_high, (event_id % 3)::INT AS faces, (event_id % 11 = 0)::INT AS eyes_closed, CASE WHEN event_id % 19 <> 0 THEN epoch_ms(ts) END AS capture,
+  user_id % 97 AS u, event_id % 4 AS k FROM events),
+s AS (SELECT path, camera, sharpness, mean, clip_low, clip_high, faces, eyes_closed, capture, xor(((u * u * u * 7919 + u * 104729 + 12345) % 1000003) * 4611686018, CASE k WHEN 0 THEN 0 WHEN 1 THEN 32512 WHEN 2 THEN 8323072 ELSE 2130706432 END) AS dhash,
+  ((u * u * 15485863 + 7) % 1000003) * 3611686019 + k % 2 AS phash FROM s0)"""
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as measured images; hashes of one user's are seven or fourteen bits apart."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, u, k = F.col("event_id"), F.col("user_id") % 97, F.col("event_id") % 4
+    flip = F.when(k == 0, 0).when(k == 1, 32512).when(k == 2, 8323072).otherwise(2130706432).cast("long")
+    return e.select(
+        i.alias("path"), F.nullif(F.col("user_id") % 7, F.lit(6)).alias("camera"), F.col("value").alias("sharpness"), (i % 101 / 100.0).alias("mean"), (i % 13 / 40.0).alias("clip_low"),
+        (i % 17 / 60.0).alias("clip_high"), (i % 3).cast("int").alias("faces"), (i % 11 == 0).cast("int").alias("eyes_closed"), F.when(i % 19 != 0, F.unix_millis(F.col("ts").cast("timestamp"))).alias("capture"),
+        (((u * u * u * 7919 + u * 104729 + 12345) % 1000003) * 4611686018).bitwiseXOR(flip).alias("dhash"), (((u * u * 15485863 + 7) % 1000003) * 3611686019 + k % 2).alias("phash"),
+    )

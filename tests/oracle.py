@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 DATA = "/root/testdata"
 
@@ -16,9 +17,16 @@ def database(sf: str):
     return db
 
 
+def plain(x):
+    """A missing value as None, whole numbers as ints."""
+    if x is None or x is pd.NaT or x is pd.NA or x != x:
+        return None
+    return int(x) if isinstance(x, float) and x.is_integer() else float(x) if isinstance(x, float) else x
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return list(frame.columns), sorted(map(repr, ([None if x != x else (float(x) if isinstance(x, float) else x) for x in r] for r in frame.itertuples(index=False))))
+    return list(frame.columns), sorted(map(repr, ([plain(x) for x in r] for r in frame.itertuples(index=False))))
 
 
 def same(spark, db, query, sql: str, sf: str) -> tuple[bool, str]:
