@@ -36,8 +36,8 @@ LANDMARKS, SHORTEST, LONGEST = 40, 4, 12
 ORDER, DECAY, POWER = 3, 0.7, 4
 #: Characters of a token compared at once; longer ones go in pieces that overlap by half.
 PIECE = 24
-#: Kernels below this count as none.
-FAINT = 0.45
+#: Kernels below this count as none: their power is under a fortieth.
+FAINT = 0.4
 #: From this score a document is toxic.
 TOXIC = 0.3
 #: Tokens whose features a worker remembers.
@@ -233,9 +233,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
     bags = [_sentences(d, known) or [np.zeros(len(landmarks), np.float32)] for d in docs]
     labels = np.array(labels)
-    w = np.concatenate([root @ root @ np.ones(len(landmarks)), [0.0]])
     # Sentences of a toxic document that hold a landmark nearly whole, or its worst one, are toxic; those of others are not.
-    w = np.concatenate([root @ np.ones(len(landmarks)), [0.0]])
     x, y = [], []
     for bag, toxic_doc in zip(bags, labels):
         bag = np.array(bag, float)
