@@ -197,8 +197,10 @@ def _sentences(tokens: list[str], known: dict) -> list:
 def features(known: dict, tokens, landmarks) -> None:
     """Adds tokens not yet known: their kernels, or None where all are faint."""
     fresh = list({t for t in tokens if t not in known})
-    for t, row in zip(fresh, likeness([bare(t) for t in fresh], landmarks)):
-        known[t] = row if row.any() else None
+    for s in range(0, len(fresh), 20_000):
+        part = fresh[s : s + 20_000]
+        for t, row in zip(part, likeness([bare(t) for t in part], landmarks)):
+            known[t] = row.copy() if row.any() else None
 
 
 def once(docs: list[list[str]]) -> list[int]:
@@ -214,9 +216,11 @@ def once(docs: list[list[str]]) -> list[int]:
     return out
 
 
-def fit(texts: list[str], labels: list[int]) -> dict | None:
+def fit(texts, labels: list[int]) -> dict | None:
     """The machine, or None without documents of both labels or without landmarks."""
-    docs = [tokens_of(t) for t in texts]
+    # One string a word: the driver holds thousands of documents.
+    words: dict = {}
+    docs = [[words.setdefault(w, w) for w in tokens_of(t)] for t in texts]
     first = once(docs)
     docs, labels = [docs[k] for k in first], [labels[k] for k in first]
     toxic = [d for d, y in zip(docs, labels) if y]
@@ -343,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     chosen = F.broadcast(labels.where(draw).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").where("text IS NOT NULL").select("doc_id", "text", "toxic")
     rows = rows.orderBy("doc_id", "text").toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    return fit((t.as_py() for t in rows.column("text")), rows.column("toxic").to_pylist())
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
