@@ -9,23 +9,32 @@ from tesserae.llm import decontamination, linededup, mixing, ngramjoin, scratch,
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go.
+
+    Null and empty texts score as harmless and stay, equal texts share a
+    score, texts of any length are read whole; without labels of both kinds
+    all stay; an empty table gives no rows.
+    """
     scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where(F.col("score") < toxicity.TOXIC).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and similar lines one stays in the corpus; the documents stay, with what is left of their text."""
+    """Of equal and similar lines one stays in the corpus; the documents stay, with what is left of their text.
+
+    Null, empty, repeated and very long texts are treated as
+    ``linededup.dedup`` says; no row goes.
+    """
     return linededup.dedup(docs).select(*docs.columns)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least doc_id stays, in all its rows; documents without an id stay."""
-    part = ngramjoin.join(docs)
-    grouped = part.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    others = part.join(grouped, "component_id").where("doc_id <> component_id").select("doc_id").distinct()
-    others = scratch.table(others, "others")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of similar documents one stays; those without words, and those without a group, stay.
+
+    Null, empty and repeated rows, and rows without an id, are treated as
+    ``ngramjoin.representatives`` says; an empty table gives no rows.
+    """
+    return ngramjoin.representatives(docs).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +43,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of its source takes it, copies numbered from 1."""
+    """Each document as often as the mix of its source takes it, copies numbered from 1.
+
+    A null or empty text has no words, and a null source is one of its own;
+    repeated rows are mixed one by one; an empty table gives no rows.
+    """
     mixed = mixing.emit(mixing.mix(docs))
     return mixed.select("doc_id", "copy", "text", "source", "size", "source_size", "target")
 

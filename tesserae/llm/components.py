@@ -81,7 +81,8 @@ def _crossing(meet: DataFrame, marks: DataFrame, slack, every: bool) -> DataFram
     pairs = a.join(b, F.expr("a_cell = b_cell AND a_part < b_part AND (a_same OR a_block <> b_block)") & (left >= 0))
     pairs = pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), F.col("b_part").alias("part"), left.alias("left"))
     if not every:
-        return pairs.groupBy("u", "part").agg(F.max(F.struct("left", "v"))["v"].alias("v"), (F.min("v") < F.max("v")).alias("more")).select("u", "v", "more")
+        # Aggregates of numbers: hashed, so the joined pairs are never sorted or stored.
+        return pairs.groupBy("u", "part").agg(F.max_by("v", "left").alias("v"), (F.min("v") < F.max("v")).alias("more")).select("u", "v", "more")
     return pairs.select("u", "v").distinct()
 
 
@@ -111,7 +112,7 @@ def cluster(meet: DataFrame, marks: DataFrame, slack, verify) -> DataFrame:
             pairs = found.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
             both = pairs.join(_named(marks, "a_"), F.col("u") == F.col("a_node")).join(_named(marks, "b_"), F.col("v") == F.col("b_node"))
             both = both.withColumn("left", slack("a_", "b_")).where("left >= 0")
-            return both.groupBy("v").agg(F.max(F.struct("left", "u"))["u"].alias("u")).select("u", "v")
+            return both.groupBy("v").agg(F.max_by("u", "left").alias("u")).select("u", "v")
 
         known = own.table(nearest(meet), "pairs")
         links = verify(known)

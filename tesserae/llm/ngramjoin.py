@@ -357,17 +357,8 @@ def slack(a: str, b: str) -> F.Column:
     return (100 - LIKE) * (F.col(f"{a}n") + F.col(f"{b}n")) - (100 + LIKE) * told
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document.
-
-    Words are runs of bytes other than space and 09-0D, A-Z lower-cased.  A
-    null or empty text, or one without words, has an empty set and is a
-    component of its own; repeated rows are linked as equal texts, and the
-    least id names a component whatever the ties; a null doc_id is a document
-    whose component is named by the least id of the others, or null; texts of
-    any length are read whole; an empty table gives no rows; columns other
-    than doc_id and text are left out.
-    """
+def _parts(docs: DataFrame) -> DataFrame:
+    """(id, text_key, n, node, part) of every document: part names its component, null where no other text is in it."""
     with scratch.scope() as own:
         docs = scratch.columns(docs, "doc_id", "text")
         docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("text_key"))
@@ -397,15 +388,48 @@ def join(docs: DataFrame) -> DataFrame:
         own.drop(found)
         part = components.cluster(meet, marks, slack, lambda pairs: verify(pairs, nodes, docs))
 
-        # Names: the least id of a component.  Nodes of one document alone need none.
-        named = nodes.join(part, "node", "left").where("component IS NOT NULL OR copies > 1")
-        named = named.select("node", "id", F.coalesce("component", "node").alias("part"))
-        least_id = named.groupBy("part").agg(F.min("id").alias("component_id"))
-        names = named.join(least_id, "part").select("node", "component_id")
-        out = sig.join(names, "node", "left")
-        whole = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-        out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), whole.alias("component_id"), "node", "text_key")
-        return own.keep(own.table(out, "joined")).select("doc_id", "n_shingles", "component_id")
+        out = sig.join(part, "node", "left").select("id", "text_key", "n", "node", F.col("component").alias("part"))
+        return own.keep(own.table(out, "parts"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents with one of each component, the least by doc_id (those without one last) and the text's hash.
+
+    Decided for each text by itself: a document without a doc_id, or one whose
+    doc_id another text has too, goes only if its own text is not the one that
+    stays.  Of rows that agree in doc_id and text one stays.  Documents without
+    words are components of their own and all stay.
+    """
+    part = _parts(docs).where("n > 0").withColumn("part", F.coalesce("part", "node"))
+    doc = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    many = part.groupBy("part").agg(F.min(doc).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    gone = part.join(many, "part").select("id", "text_key", "first").distinct()
+    stays = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_key") == F.col("text_key"))
+    with scratch.scope() as own:
+        gone = own.keep(own.table(gone.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), stays.alias("_stays")), "copies"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
+    rows = keyed.join(gone, (F.col("_text") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    kept = rows.where("_stays IS NULL").unionByName(rows.where("_stays").dropDuplicates(["_doc", "_text"]))
+    return kept.select("_row.*")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every document.
+
+    Words are runs of bytes other than space and 09-0D, A-Z lower-cased.  A
+    null or empty text, or one without words, has an empty set and is a
+    component of its own; repeated rows are linked as equal texts, and the
+    least id names a component whatever the ties; a null doc_id is a document
+    whose component is named by the least id of the others, or null; texts of
+    any length are read whole; an empty table gives no rows; columns other
+    than doc_id and text are left out.
+    """
+    part = _parts(docs).withColumn("part", F.coalesce("part", "node"))
+    # Names: the least id of a component.  Texts without words are in none.
+    names = part.where("n > 0").groupBy("part").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    out = part.join(names.select("part", "least"), "part", "left")
+    whole = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), whole.alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
