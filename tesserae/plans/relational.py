@@ -52,13 +52,13 @@ table_query(
          SELECT *, sum(n) OVER (PARTITION BY l_returnflag ORDER BY bin ROWS UNBOUNDED PRECEDING) AS below, sum(n) OVER (PARTITION BY l_returnflag) AS total FROM (
            SELECT l_returnflag, least(4095, greatest(0, floor(l_extendedprice / 32)))::INT AS bin, count(*) AS n FROM lineitem GROUP BY ALL)) GROUP BY l_returnflag""",
 )
-_sums = [F.count("*").alias("n"), F.sum("l_linenumber").alias("lines")]
+_sums = lambda: [F.count("*").alias("n"), F.sum("l_linenumber").alias("lines")]
 table_query(
-    "aggregate_rollup", lambda t: t("lineitem").rollup("l_returnflag", "l_linestatus").agg(*_sums, F.grouping_id().cast("long").alias("level")),
+    "aggregate_rollup", lambda t: t("lineitem").rollup("l_returnflag", "l_linestatus").agg(*_sums(), F.grouping_id().cast("long").alias("level")),
     "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_linenumber)::BIGINT AS lines, grouping(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
 )
 table_query(
-    "aggregate_cube", lambda t: t("lineitem").cube("l_returnflag", "l_linestatus").agg(*_sums, F.grouping_id().cast("long").alias("level")),
+    "aggregate_cube", lambda t: t("lineitem").cube("l_returnflag", "l_linestatus").agg(*_sums(), F.grouping_id().cast("long").alias("level")),
     "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_linenumber)::BIGINT AS lines, grouping(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
 )
 table_query(

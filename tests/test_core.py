@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import oracle
-from tesserae.functions import blend
-from tesserae.operators import library, raster
+from tesserae import editor
+from tesserae.functions import blend, tone
+from tesserae.operators import cull, filters, graph, library, raster, relational, selection
 from tesserae.plans import queries as plans
 
 SF = "sf0.001"
@@ -57,3 +58,80 @@ def test_names_are_unique(spark):
     items = spark.createDataFrame([(1, "A", 1, "2020-01-01"), (2, "a", 1, "2020-01-01"), (3, "b", 1, "2020-01-01")], "path int, kind string, rating int, capture string")
     names = [r.name for r in library.named(items.withColumn("capture", F.to_timestamp("capture"))).orderBy("path").collect()]
     assert names == ["a_20200101_1", "a_20200101_1-2", "b_20200101_1"]
+
+
+def test_components_equal_brute_force(spark):
+    edges = [(1, 2), (2, 3), (7, 8), (9, 9), (20, 3), *[(100 + i, 101 + i) for i in range(30)]]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 20: 1, 7: 7, 8: 7, **{100 + i: 100 for i in range(31)}}
+
+
+def test_two_frames_eight_bits_apart_group_by_time(spark):
+    far = [(1, 0, 0, 0), (2, 0xFF, 0xFF, 3_600_000)]
+    near = [(1, 0, 0, 0), (2, 0xFF, 0xFF, 1000)]
+    schema = "path long, dhash long, phash long, capture long"
+    assert cull.duplicates(spark.createDataFrame(far, schema)).count() == 0
+    assert {tuple(r) for r in cull.duplicates(spark.createDataFrame(near, schema)).collect()} == {(1, 1), (2, 1)}
+    assert {tuple(r) for r in cull.duplicates(spark.createDataFrame([(5, 7, 7, None), (3, 7, 7, None)], schema)).collect()} == {(5, 3), (3, 3)}
+
+
+def test_wand_floods_around_bends(spark):
+    picture = ["..#...", ".##.#.", "....#.", "#####.", "......"]
+    rows = [(0, x, y, *([0] * 3 if c == "." else [255] * 3)) for y, line in enumerate(picture) for x, c in enumerate(line)]
+    px = spark.createDataFrame(rows, "img int, x int, y int, r int, g int, b int")
+    got = {(r.x, r.y) for r in selection.magic_wand(px, 0, 0, 10, contiguous=True).where("cover > 0").collect()}
+    reached, todo = set(), [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        if 0 <= x < 6 and 0 <= y < 5 and picture[y][x] == "." and (x, y) not in reached:
+            reached.add((x, y))
+            todo += [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
+    assert got == reached
+
+
+def test_asof_join_takes_the_latest_before(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 5)], "id int, k string, t int")
+    right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("a", 6, 60), ("b", 10, 1)], "k string, t int, v int")
+    assert {(r.id, r.v) for r in relational.asof_join(left, right, "k", "t", ["v"]).collect()} == {(1, 50), (2, None), (3, None), (4, None)}
+
+
+def test_warp_of_nothing_is_the_picture(spark):
+    px = grid(spark, 7, lambda x, y: (x * 30, y * 30, (x * y * 7) % 256))
+    out = filters.warp(px, F.col("x") + 0.5, F.col("y") + 0.5)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, px.collect()))
+
+
+def test_frequency_layers_give_the_picture_back(spark):
+    px = grid(spark, 8, lambda x, y: ((x * 37 + y * 11) % 256, (x * y) % 256, (x ^ y) * 9 % 256))
+    for r in filters.frequency_separation(px, 1.5).collect():
+        assert all(r[f"low_{c}"] + 2 * r[f"high_{c}"] - 255 == r[c] for c in "rgb")
+
+
+def test_adjustments_keep_other_columns(spark):
+    px = grid(spark, 3, lambda x, y: (40, 90, 200)).withColumns({c: F.col(c) / 255.0 for c in "rgb"}).withColumn("a", F.lit(0.5))
+    for kind, run in tone.ADJUSTMENTS.items():
+        more = {"colors": {"reds": (1, 2, 3, 4)}} if kind == "selective-color" else {"size": 2, "table": [(0, 0, 0)] * 8} if kind == "color-lookup" else {}
+        assert sorted(run(px, **more).columns) == sorted(px.columns), kind
+
+
+def test_a_failed_command_changes_nothing(spark):
+    px = spark.createDataFrame([(0, x, y, 0.1, 0.2, 0.3, 1.0) for x in range(3) for y in range(2)], "img int, x int, y int, l_r double, l_g double, l_b double, l_a double")
+    ed = editor.Editor(px, 3, 2)
+    ed.run([{"op": "doc.open-pixels", "source": "l"}, {"op": "layer.add-pixel"}])
+    rows = sorted(map(tuple, ed.layer_rows().collect()))
+    for bad in (
+        {"op": "layer.delete", "ids": [99]}, {"op": "layer.move", "id": 1, "index": 0, "parent": 2}, {"op": "nothing.here"}, {"op": "filter.none"}, {"op": "layer.merge-down", "id": 1},
+        {"op": "image.crop", "x": 0, "y": 0, "width": 0, "height": 1}, {"op": "layer.props", "id": 1, "colour": 3}, {"op": "select.grow", "by": 2}, {"op": "layer.rasterize", "id": 1}, {},
+    ):
+        with pytest.raises(editor.Invalid):
+            ed.exec(bad)
+    assert sorted(map(tuple, ed.layer_rows().collect())) == rows and len(ed.history.undo_stack) == 1
+    assert ed.exec({"op": "edit.undo"})["label"] == "New Layer" and ed.exec({"op": "edit.undo"}) == {"changed": False, "label": None, "revision": ed.revision}
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 200"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
