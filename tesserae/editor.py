@@ -26,6 +26,13 @@ RGB = ("r", "g", "b")
 STEPS = 200
 
 
+#: Filters that act on a layer of levels and give one back.
+FILTERS = (
+    "gaussian_blur", "unsharp_mask", "high_pass", "custom", "median", "find_edges", "emboss", "surface_blur", "solarize", "invert", "desaturate", "apply_adjustment", "offset", "vignette",
+    "twirl", "pinch", "spherize", "ripple", "polar_coordinates",
+)
+
+
 class Invalid(ValueError):
     """A command that can't be carried out; the document stays as it was."""
 
@@ -675,10 +682,25 @@ class Editor:
     def _select_smooth(self, radius):
         return self._changed(lambda s: selection.smooth(s, radius), "Smooth")
 
+    def _here(self) -> DataFrame:
+        """The composite with alpha, which selections by colour read."""
+        return self.flatten()
+
+    def _select_magic_wand(self, x, y, tolerance=32, contiguous=True, smooth=True, mode="replace"):
+        return self._select(selection.magic_wand(self._here(), x, y, tolerance, contiguous, smooth), mode, 0.0, "Magic Wand")
+
+    def _select_color_range(self, color=None, preset=None, fuzziness=40.0, mode="replace"):
+        if color is None and preset is None:
+            raise Invalid("give a color or a preset")
+        return self._select(selection.color_range(self._here(), color, preset, fuzziness), mode, 0.0, "Color Range")
+
+    def _select_similar(self, tolerance=32):
+        return self._changed(lambda s: selection.similar(self._here(), s, tolerance), "Similar")
+
     # Filters and results.
 
     def _filter(self, name: str, id=None, **settings):
-        run = getattr(filters, name.replace("-", "_"), None)
+        run = getattr(filters, name.replace("-", "_"), None) if name.replace("-", "_") in FILTERS else None
         if run is None:
             raise Invalid(f"unknown operation filter.{name}")
         layer = self._pixels(id)
@@ -693,6 +715,18 @@ class Editor:
         out = compose.composite(self.doc.px, self.doc.layers)
         return out.select("img", "x", "y", *[quantise(F.col(c)).alias(c) for c in CHANNELS])
 
+    def _analyze_histogram(self):
+        return None, None, self.histogram()
+
+    def _analyze_pick(self, x, y, size=1):
+        return None, None, raster.pick(self.flatten(), x, y, size)
+
+    def operations(self) -> list[str]:
+        """Every operation that :meth:`exec` knows."""
+        own = [name[1:].replace("_", ".", 1).replace("_", "-") for name in dir(self) if name.startswith(("_doc_", "_layer_", "_image_", "_select_", "_analyze_"))]
+        session = [f"edit.{name}" for name in ("undo", "redo", "history-go", "seal", "squash", "begin", "end", "cancel", "clear-history")]
+        return sorted(own + session + [f"filter.{name.replace('_', '-')}" for name in FILTERS])
+
     def histogram(self) -> DataFrame:
         return raster.histogram(self.flatten().where("a > 0"))
 

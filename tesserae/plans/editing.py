@@ -152,3 +152,9 @@ _drawn(
     "new_document", [{"op": "doc.new", "width": 9, "height": 7, "background": [10, 200, 30]}, {"op": "layer.add-fill", "fill": {"color": [255, 0, 0, 51]}}],
     ", w AS (SELECT img, x, y, (10 * 0.8::DOUBLE + 51) / 255 AS w_r, 160 / 255.0::DOUBLE AS w_g, 24 / 255.0::DOUBLE AS w_b, 1.0::DOUBLE AS w_a FROM (SELECT DISTINCT img FROM page) i, (SELECT unnest(range(9)) AS x) a, (SELECT unnest(range(7)) AS y) b)", "w", "x::INT AS x, y::INT AS y",
 )
+_SEED = ", hard AS (SELECT p.*, CASE WHEN greatest(abs(r0 - s0), abs(g0 - s1), abs(b0 - s2)) <= 60 THEN 1 ELSE 0 END AS hit FROM lv p JOIN (SELECT img, r0 AS s0, g0 AS s1, b0 AS s2 FROM lv WHERE x = 12 AND y = 9) q USING (img))"
+_LV = ", lv AS (SELECT *, " + ", ".join(f"{level(f'b1_{c}')} AS {c}0" for c in "rgb") + " FROM b1)"
+_drawn(
+    "fill_by_colour", [{"op": "layer.delete", "ids": [2, 3]}, {"op": "select.magic-wand", "x": 12, "y": 9, "tolerance": 60, "contiguous": False, "smooth": False}, {"op": "layer.fill-selection", "id": 1, "color": [0, 0, 255]}],
+    _A + _LV + _SEED + ", w AS (SELECT img, x, y, CASE WHEN hit = 1 THEN 0.0::DOUBLE ELSE b1_r END AS w_r, CASE WHEN hit = 1 THEN 0.0::DOUBLE ELSE b1_g END AS w_g, CASE WHEN hit = 1 THEN 1.0::DOUBLE ELSE b1_b END AS w_b, b1_a AS w_a FROM hard)", "w",
+)
