@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import oracle
-from tesserae import editor
+from tesserae import editor, tools
 from tesserae.functions import blend, tone
 from tesserae.operators import cull, filters, graph, library, raster, relational, selection
 from tesserae.plans import queries as plans
@@ -135,3 +135,34 @@ def test_entry_imports_without_a_session():
 
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 200"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_documents_are_kept_by_name(spark, tmp_path):
+    px = grid(spark, 6, lambda x, y: (x * 40, y * 40, 90)).withColumn("a", F.lit(255))
+    held = tools.Sessions()
+    assert held.open_document("one", px, 6, 6)["layers"] == [1]
+    steps = [{"op": "select.rect", "x": 1, "y": 1, "width": 3, "height": 2}, {"op": "layer.fill-selection", "color": [1, 2, 3]}, {"op": "layer.add-adjustment", "adjust": "invert"}]
+    assert held.apply_operations("one", steps, "Both")["undo"] == ["Both"]
+    with pytest.raises(editor.Invalid):
+        held.apply_operations("one", [{"op": "layer.add-pixel"}, {"op": "layer.delete", "ids": [77]}])
+    assert held.document_state("one")["undo"] == ["Both"] and held.undo("one")["label"] == "Both" and held.redo("one")["label"] == "Both"
+    held.save_document("one", f"{tmp_path}/saved")
+    rows = lambda name: sorted(map(tuple, held.editors[name].flatten().collect()))
+    assert held.load_document(spark, "two", f"{tmp_path}/saved")["layers"] == [1, 2] and rows("two") == rows("one")
+    inside = {r[1:3]: r[3:6] for r in rows("one")}
+    assert inside[(1, 1)] == (254, 253, 252) and inside[(0, 0)] == (0, 0, 90)
+    assert held.render_preview("two", 3).count() == 9
+    held.close_document("one")
+    with pytest.raises(editor.Invalid):
+        held.undo("one")
+
+
+def test_tools_edit_whole_tables(spark):
+    px = grid(spark, 5, lambda x, y: (x * 50, y * 50, 90))
+    assert tuple(tools.image_info(px).first()) == (0, 5, 5, 25, True)
+    assert {(r.x, r.y, r.r) for r in tools.rotate_flip_image(px, 5, 5, 1).collect()} == {(4 - y, x, x * 50) for x in range(5) for y in range(5)}
+    assert tools.resize_image(px, 5, 5, new_width=10).count() == 100 and tools.crop_image(px, 5, 5, 1, 1, 2, 3).count() == 6
+    both = tools.batch_edit(px, 5, 5, {"plain": [], "negative": [{"op": "filter.invert"}]})
+    assert {(r.recipe, r.b) for r in both.collect()} == {("plain", 90), ("negative", 165)}
+    with pytest.raises(editor.Invalid, match="operation 1"):
+        tools.run_operations(px, 5, 5, [{"op": "filter.invert"}, {"op": "filter.nothing"}])
