@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cull, fidelity
 from ..sources.adapters import SIGNALS_SQL, signals
-from .common import ORACLES, QUERIES, RGB, pixel_query
+from .common import ORACLES, QUERIES, RGB, pixel_query, table_query
 from .filters import ENDS, alpha_query
 
 LUM = ENDS + ", lum AS (SELECT img, x, y, floor(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b + 0.5 + 0.000000001)::INT AS l FROM px)"
@@ -123,3 +123,28 @@ alpha_query(
     "compare_grid", lambda px: fidelity.grid(px).withColumns({c: F.round(c, 6) for c in RGB}),
     "SELECT img, gx, gy, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in RGB) + " FROM wh GROUP BY ALL", _GRID,
 )
+
+
+def _sidecars(read):
+    """Sidecars written from events: attributes or elements, some rejected, some without marks."""
+    from ..sources.formats import marks_of, sidecar_name
+
+    i = F.col("event_id")
+    rating = F.when(i % 7 == 0, -1).otherwise((i % 8).cast("int"))
+    body = F.when(
+        i % 2 == 0, F.format_string('<rdf:Description xmp:Rating="%d" xmp:Label="%s" ops:Pick = "%d" ops:Stars="3"/>', rating, F.element_at(F.array(F.lit("Red"), F.lit(" green "), F.lit("Pink")), (i % 3 + 1).cast("int")), (i % 5 - 2).cast("int"))
+    ).otherwise(F.format_string("<xmp:Rating>%d</xmp:Rating>", rating))
+    xml = F.when(i % 11 == 0, "<x:xmpmeta/>").when(i % 13 == 0, body).otherwise(F.concat(F.lit("<x:xmpmeta>\n"), body, F.lit("\n</x:xmpmeta>")))
+    name = F.when(i % 3 == 0, F.concat(F.lit(".hidden"), i.cast("string"))).otherwise(F.concat(F.lit("a.b"), i.cast("string"), F.lit(".jpg")))
+    rows = read("events").select(sidecar_name(name).alias("name"), marks_of(xml).alias("m")).where("m IS NOT NULL")
+    return rows.select("name", "m.*")
+
+
+table_query(
+    "cull_sidecars", _sidecars,
+    """WITH e AS (SELECT event_id AS i, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id % 8 END AS r FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0)
+       SELECT CASE WHEN i % 3 = 0 THEN '.hidden' || i ELSE 'a.b' || i END || '.xmp' AS name,
+         (CASE WHEN r >= 0 THEN least(5, r) WHEN i % 2 = 0 THEN 3 ELSE 0 END)::INT AS rating,
+         (CASE WHEN r < 0 THEN -1 WHEN i % 2 = 0 THEN sign(i % 5 - 2) ELSE 0 END)::INT AS flag,
+         (CASE WHEN i % 2 = 0 THEN CASE i % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 0 END ELSE 0 END)::INT AS label FROM e""",
+)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tests import oracle
 from tesserae import editor, tools
 from tesserae.functions import blend, tone
+from tesserae.sources import formats
 from tesserae.operators import cull, filters, graph, library, raster, relational, selection
 from tesserae.plans import queries as plans
 
@@ -166,3 +167,12 @@ def test_tools_edit_whole_tables(spark):
     assert {(r.recipe, r.b) for r in both.collect()} == {("plain", 90), ("negative", 165)}
     with pytest.raises(editor.Invalid, match="operation 1"):
         tools.run_operations(px, 5, 5, [{"op": "filter.invert"}, {"op": "filter.nothing"}])
+
+
+def test_cubes():
+    body = "\n".join(f"{r} {g} {b}" for b in (0, 2) for g in (0, 2) for r in (0, 2))
+    size, table = formats.parse_cube(f'TITLE "x"\n# note\nLUT_3D_SIZE 2\nDOMAIN_MAX 2 2 2\n{body}\n')
+    assert size == 2 and table == [(r, g, b) for b in (0, 1) for g in (0, 1) for r in (0, 1)]
+    for bad in ("LUT_1D_SIZE 2\n0 0 0", "LUT_3D_SIZE 2\n0 0 0", ""):
+        with pytest.raises(ValueError):
+            formats.parse_cube(bad)
