@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only on one machine where the session names no shared folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints/tesserae"
 
+#: Has the session delete a statement's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scopes: list[scope] = []
 
 
@@ -25,12 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; the innermost open scope owns the files."""
+    """Write ``df`` as Parquet in the shared folder and read it back; the innermost open scope owns the files.
+
+    The write's shuffle files go with it: those of many rounds would stay until
+    the driver collects garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].paths.add(path)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
