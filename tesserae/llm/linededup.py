@@ -4,8 +4,9 @@ A line's shingles are its substrings of SHINGLE bytes.  ORDERS multipliers give
 as many orders of their hashes, and a line's signature is the least value in
 each.  Each of BANDS names ROWS places of the signature: lines that agree in
 all of them share a key.  Lines that share a key are candidates; those whose
-signatures agree in AGREE places at least are verified by their exact Jaccard
-similarity and joined by union-find.  Of each component's lines the first stays.
+signatures agree in AGREE places at least, and whose bit sets of shingles don't
+rule it out, are verified by their exact Jaccard similarity and joined by
+union-find.  Of each component's lines the first stays.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ ORDERS, BANDS, ROWS = 16, 12, 4
 AGREE = 9
 #: Similarity in hundredths.
 LIKE = 80
+#: Words of 64 bits in a line's bit set, a power of two: each shingle sets one bit.
+WORDS = 16
 #: Hashes of candidate lines that are broadcast at most (8 bytes each); beyond it, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -57,8 +60,11 @@ def _starts(line: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """The set of a line's shingle hashes."""
-    raw = line.cast("binary")
-    return F.array_distinct(F.transform(_starts(line), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
+    # One character a byte, so that one expression finds them all.
+    raw = F.decode(line.cast("binary"), "ISO-8859-1")
+    found = F.regexp_extract_all(raw, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    found = F.when(F.octet_length(line) < SHINGLE, F.array(raw)).otherwise(found)
+    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -76,7 +82,13 @@ def similar(a: Column, b: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """Rows (id, text_key, place, line, line_key) of all lines that are not blank."""
     out = docs.select("id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    return out.where(F.trim(F.regexp_replace("line", r"[\x09-\x0D]", "")) != "").withColumn("line_key", F.xxhash64("line"))
+    return out.where(F.col("line").rlike(r"[^\x09-\x0D\x20]")).withColumn("line_key", F.xxhash64("line"))
+
+
+def _hashes(lines: DataFrame) -> DataFrame:
+    """(node, hash): the lines' shingles, one row each."""
+    each = lines.select("line_key", F.col("line").cast("binary").alias("raw"), F.explode(_starts(F.col("line"))).alias("i"))
+    return each.select(F.col("line_key").alias("node"), F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("hash"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -85,34 +97,45 @@ def signatures(lines: DataFrame) -> DataFrame:
     A line's shingles are rows of one task only, which the partial aggregate
     reduces to the signature; equal lines of other tasks give the same.
     """
-    each = lines.select("line_key", F.col("line").cast("binary").alias("raw"), F.explode(_starts(F.col("line"))).alias("i"))
-    hashed = F.xxhash64(F.substring(F.col("raw"), F.col("i"), F.lit(SHINGLE)))
-    each = each.select(F.col("line_key").alias("node"), F.shiftrightunsigned(hashed, 33).alias("h"))
+    each = _hashes(lines).select("node", F.shiftrightunsigned("hash", 33).alias("h"))
     least = [F.min((F.col("h") * f).bitwiseAND(F.lit(_MIDDLE))).alias(f"m{k}") for k, f in enumerate(_FACTORS)]
     sig = each.groupBy("node").agg(*least)
     return sig.select("node", *[F.shiftright(f"m{k}", 17).cast("int").alias(f"m{k}") for k in range(ORDERS)])
 
 
+def bit_sets(lines: DataFrame) -> DataFrame:
+    """(node, b0, b1, ..., n) of distinct lines: a bit for each shingle's hash, and the number of shingles with repeats."""
+    # The signature takes a hash's upper bits, the bit set its lower ones.
+    each = _hashes(lines).select("node", F.expr("shiftleft(1L, CAST(hash & 63 AS INT))").alias("bit"), F.expr(f"shiftright(hash, 6) & {WORDS - 1}").alias("word"))
+    each = each.groupBy("node", "word").agg(F.bit_or("bit").alias("bit"), F.count("*").alias("n"))
+    bits = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(WORDS)]
+    return each.groupBy("node").agg(*bits, F.sum("n").cast("int").alias("n"))
+
+
+def possible(a: str, b: str) -> Column:
+    """Whether two lines can be similar by their bit sets, which tell that some shingles are in one only: it never denies a similar pair."""
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}b{k}").bitwiseAND(F.bitwise_not(f"{y}b{k}"))) for k in range(WORDS)), F.lit(0))
+    # A one-element array holds both counts, so each is made once.
+    counts = F.array(F.struct(alone(a, b).alias("a"), alone(b, a).alias("b")))
+    common = lambda s: F.least(F.col(f"{a}n") - s["a"], F.col(f"{b}n") - s["b"])
+    return F.exists(counts, lambda s: (100 - LIKE) * common(s) >= LIKE * (s["a"] + s["b"]))
+
+
 def agreement(a: str, b: str) -> Column:
-    """Places in which two signatures agree, beyond those that they must."""
+    """Places in which two signatures agree, beyond those that they must; -1 where the lines can't be similar."""
     same = [(F.col(f"{a}m{k}") == F.col(f"{b}m{k}")).cast("int") for k in range(ORDERS)]
-    return sum(same[1:], same[0]) - AGREE
+    left = sum(same[1:], same[0]) - AGREE
+    return F.when((left >= 0) & possible(a, b), left).otherwise(-1)
 
 
-def _verifier(lines: DataFrame):
+def _verifier(texts: DataFrame):
     """Checks pairs of candidate lines by their exact similarity."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        with scratch.scope() as own:
-            wanted = pairs.select(F.explode(F.array("u", "v")).alias("line_key")).distinct()
-            wanted = own.table(wanted, "candidates")
-            side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-            texts = lines.select("line_key", "line").join(side, "line_key", "left_semi").dropDuplicates(["line_key"])
-            texts = own.table(texts, "lines")
-            a = texts.select(F.col("line_key").alias("u"), F.col("line").alias("a"))
-            b = texts.select(F.col("line_key").alias("v"), F.col("line").alias("b"))
-            both = pairs.join(a, "u").join(b, "v")
-            return own.keep(own.table(both.where(similar(F.col("a"), F.col("b"))).select("u", "v"), "links"))
+        a = texts.select(F.col("line_key").alias("u"), F.col("line").alias("a"))
+        b = texts.select(F.col("line_key").alias("v"), F.col("line").alias("b"))
+        both = pairs.join(a, "u").join(b, "v")
+        return scratch.table(both.where(similar(F.col("a"), F.col("b"))).select("u", "v"), "links")
 
     return verify
 
@@ -127,7 +150,12 @@ def parts(lines: DataFrame) -> DataFrame:
         groups = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("high"))
         meet = keyed.join(groups.where("centre < high").select("key", "centre"), "key")
         meet = own.table(meet.select("key", "node", "centre"), "meet")
-        return own.keep(components.cluster(meet, marks, agreement, _verifier(lines)))
+        # Lines that share a key are stored once, for all rounds.
+        wanted = own.table(meet.select(F.col("node").alias("line_key")).distinct(), "candidates")
+        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        texts = own.table(lines.select("line_key", "line").join(side, "line_key", "left_semi").dropDuplicates(["line_key"]), "lines")
+        marks = own.table(marks.join(bit_sets(texts), "node"), "marks")
+        return own.keep(components.cluster(meet, marks, agreement, _verifier(texts)))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -248,3 +248,25 @@ def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
     linededup.dedup(spark.createDataFrame([(1, "some line here\nsome line here"), (2, "some line here")], DOCS)).collect()
     ngramjoin.join(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], DOCS)).collect()
     assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["gone", "parts"]
+
+
+def test_line_bit_sets_rule_out_unlike_lines_only(spark):
+    rng = random.Random(8)
+    lines = []
+    for _ in range(60):
+        base = "".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(60, 300)))
+        for part in (0.02, 0.1, 0.5):
+            cut = int(len(base) * (1 - part))
+            lines.append((base, base[:cut] + "".join(rng.choice("mnopq") for _ in range(len(base) - cut))))
+    lines += [("ab" * 90, "ab" * 60), ("abc", "abc "), ("x" * 200, "x" * 9)]
+    texts = spark.createDataFrame([(k, s, x) for k, p in enumerate(lines) for s, x in zip("ab", p)], "k int, side string, line string").withColumn("line_key", F.xxhash64("line"))
+    sets = linededup.bit_sets(texts.dropDuplicates(["line_key"])).withColumnRenamed("node", "line_key")
+    both = texts.join(sets, "line_key")
+    side = lambda s: both.where(F.col("side") == s).select("k", *[F.col(c).alias(f"{s}_{c}") for c in both.columns if c not in ("k", "side")])
+    pairs = side("a").join(side("b"), "k")
+    rows = pairs.select("k", linededup.possible("a_", "b_").alias("possible"), linededup.similar(F.col("a_line"), F.col("b_line")).alias("similar")).collect()
+    assert len(rows) == len(lines)
+    for r in rows:
+        alike = jaccard(line_shingles(lines[r.k][0]), line_shingles(lines[r.k][1]))
+        assert r.similar == alike and (r.possible or not alike)
+    assert all(not r.possible for r in rows if r.k < 180 and r.k % 3 == 2)
