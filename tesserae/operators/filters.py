@@ -275,26 +275,36 @@ def vignette(px, amount: float, midpoint: float = 50.0, feather: float = 50.0):
 def warp(px, u: Column, v: Column, where: Column | None = None):
     """Each place takes the bilinear sample of the source at (u, v), in pixels with centres at halves; elsewhere than ``where`` it stays.
 
-    A place asks four source pixels, so the join moves four small rows a place.
+    The source's places bring their right and lower neighbours along, so a
+    place that moves asks for one row, and the join is as large as the raster;
+    it is never broadcast, since rasters are far larger than their tables.
     """
     rows = _sized(px)
-    inside = F.lit(True) if where is None else where
-    clamped = lambda c, size: F.least(F.greatest(c - 0.5, F.lit(0.0)), F.col(size) - 1.0)
-    rows = rows.select("img", "x", "y", "_w", "_h", F.when(inside, clamped(u, "_w")).otherwise(F.col("x").cast("double")).alias("_u"), F.when(inside, clamped(v, "_h")).otherwise(F.col("y").cast("double")).alias("_v"))
-    rows = rows.withColumns({"_x0": F.floor("_u").cast("int"), "_y0": F.floor("_v").cast("int")})
-    tx, ty = F.col("_u") - F.col("_x0"), F.col("_v") - F.col("_y0")
-    taps = F.array(*[
-        F.struct(F.least(F.col("_x0") + i, F.col("_w") - 1).alias("sx"), F.least(F.col("_y0") + j, F.col("_h") - 1).alias("sy"), ((tx if i else 1 - tx) * (ty if j else 1 - ty)).alias("k"))
-        for i in (0, 1) for j in (0, 1)
-    ])
-    rows = rows.select("img", "x", "y", F.explode(taps).alias("t")).select("img", "x", "y", "t.*").where("k > 0")
     alpha = F.col("a") if "a" in px.columns else F.lit(255)
-    source = px.select("img", F.col("x").alias("sx"), F.col("y").alias("sy"), *[(F.col(c) * alpha / 255.0).alias(f"_{c}") for c in RGB], alpha.cast("double").alias("_a"))
-    total = rows.join(source, ["img", "sx", "sy"]).groupBy("img", "x", "y").agg(*[F.sum(F.col(f"_{c}") * F.col("k")).alias(f"_{c}") for c in (*RGB, "a")])
-    out = {c: F.coalesce(to_level(F.col(f"_{c}") * 255.0 / F.nullif(F.col("_a"), F.lit(0.0))), F.lit(0)) for c in RGB}
-    if "a" in px.columns:
-        out["a"] = to_level(F.col("_a"))
-    return total.select("img", "x", "y", *[c.alias(n) for n, c in out.items()])
+    mixed = {f"_{c}": F.col(c) * alpha / 255.0 for c in RGB} | {"_a": alpha.cast("double")}
+    names = list(mixed)
+
+    def levels(total):
+        out = {c: F.coalesce(to_level(total[f"_{c}"] * 255.0 / F.nullif(total["_a"], F.lit(0.0))), F.lit(0)) for c in RGB}
+        if "a" in px.columns:
+            out["a"] = to_level(total["_a"])
+        return [v.alias(c) for c, v in out.items()]
+
+    clamped = lambda c, size: F.least(F.greatest(c - 0.5, F.lit(0.0)), F.col(size) - 1.0)
+    moved = rows if where is None else rows.where(where)
+    moved = moved.select("img", "x", "y", clamped(u, "_w").alias("_u"), clamped(v, "_h").alias("_v"))
+    moved = moved.withColumns({"sx": F.floor("_u").cast("int"), "sy": F.floor("_v").cast("int")})
+    # Beyond the last column or row the weight is 0.
+    source = px.select("img", F.col("x").alias("sx"), F.col("y").alias("sy"), *[v.alias(c) for c, v in mixed.items()])
+    right, below = Window.partitionBy("img", "sy").orderBy("sx"), Window.partitionBy("img", "sx").orderBy("sy")
+    source = source.withColumns({f"{c}10": F.coalesce(F.lead(c).over(right), F.col(c)) for c in names})
+    source = source.withColumns({f"{c}{i}1": F.coalesce(F.lead(f).over(below), F.col(f)) for c in names for i, f in ((0, c), (1, f"{c}10"))})
+    tx, ty = F.col("_u") - F.col("sx"), F.col("_v") - F.col("sy")
+    at = lambda c: F.col(c) * ((1 - tx) * (1 - ty)) + F.col(f"{c}01") * ((1 - tx) * ty) + F.col(f"{c}10") * (tx * (1 - ty)) + F.col(f"{c}11") * (tx * ty)
+    out = moved.join(source.hint("merge"), ["img", "sx", "sy"]).select("img", "x", "y", *levels({c: at(c) for c in names}))
+    if where is None:
+        return out
+    return out.unionByName(rows.where(~F.coalesce(where, F.lit(False))).select("img", "x", "y", *levels(mixed)))
 
 
 def _about() -> tuple:

@@ -176,3 +176,24 @@ def test_cubes():
     for bad in ("LUT_1D_SIZE 2\n0 0 0", "LUT_3D_SIZE 2\n0 0 0", ""):
         with pytest.raises(ValueError):
             formats.parse_cube(bad)
+
+
+@pytest.mark.parametrize("name", ["pinch", "spherize", "twirl", "polar_coordinates", "polar_to_rectangular", "ripple"])
+def test_warps_never_broadcast_pixels(spark, name):
+    """A raster is far larger than the table that its size is guessed from."""
+    plan = plans.QUERIES[f"filter_{name}"](spark, f"{oracle.DATA}/{SF}")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [img" in line and ", sy" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins) and "hashpartitioning(img" in plan
+
+
+def test_warp_takes_alpha_and_places_that_stay(spark):
+    rows = [(0, x, y, 200 * (x % 2), 10 * x, 7 * y, 255 if x != 3 else 0) for x in range(6) for y in range(5)]
+    px = spark.createDataFrame(rows, "img int, x int, y int, r int, g int, b int, a int")
+    out = {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in filters.warp(px, F.col("x") + 1.0, F.col("y") + 0.5, F.col("y") < 2).collect()}
+    value = {(x, y): (r, g, b, a) for _, x, y, r, g, b, a in rows}
+    for (x, y), got in out.items():
+        near = [value[(x, y)]] if y >= 2 else [value[(x, y)], value[(min(5, x + 1), y)]]
+        alpha = sum(v[3] for v in near) / len(near)
+        mixed = [sum(v[k] * v[3] for v in near) / len(near) / alpha if alpha else 0 for k in range(3)]
+        assert got == tuple(int(v + 0.5 + 1e-9) for v in (*mixed, alpha)), (x, y)
+    assert len(out) == 30
