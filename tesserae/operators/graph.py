@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +13,18 @@ LOCAL_DIR = "/tmp/checkpoints/tesserae-rounds"
 
 
 def kept(rows: DataFrame) -> DataFrame:
-    """The rows checkpointed in the cluster's shared folder (spark.checkpoint.dir), so that rounds don't repeat each other."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        if shared is None and not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or LOCAL_DIR)
-    return rows.checkpoint()
+    """The rows written to the cluster's shared folder (spark.checkpoint.dir) and read again, so that rounds don't repeat each other.
+
+    A checkpoint would hand on the guessed size of the plan that made it; over
+    the joins of many rounds these multiply beyond what numbers hold.
+    """
+    session, context = rows.sparkSession, rows.sparkSession.sparkContext
+    shared = context.getCheckpointDir() or session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if shared is None and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(shared or LOCAL_DIR).rstrip('/')}/round-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return session.read.schema(rows.schema).parquet(path)
 
 
 def components(edges: DataFrame, keep=kept) -> DataFrame:

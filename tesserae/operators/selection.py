@@ -180,10 +180,11 @@ def _soft(sel: DataFrame) -> DataFrame:
 def magic_wand(px: DataFrame, x: int, y: int, tolerance: int, contiguous: bool = False, smooth: bool = False, keep=graph.kept) -> DataFrame:
     """Places whose colour is within the tolerance of the seed's; ``contiguous`` ones only if reached over their sides.
 
-    The flood is done row by row of runs: matching places of a row that touch
-    are one node, and nodes of neighbouring rows that overlap are joined, so
-    rounds of least labels number as many as the region has bends, not pixels.
-    ``keep`` stores a round's table and cuts its lineage.
+    The flood is done on runs: matching places of a row that touch are one
+    node, and nodes of neighbouring rows that overlap are joined.  Nodes are
+    numbered from the top, so the rounds of their components number about the
+    logarithm of the height, more where the region winds.  ``keep`` stores a
+    round's table and cuts its lineage.
     """
     seed = px.where((F.col("x") == x) & (F.col("y") == y)).select("img", *[F.col(c).alias(f"_{c}") for c in RGB])
     match = _apart([f"_{c}" for c in RGB]) <= tolerance
@@ -193,15 +194,15 @@ def magic_wand(px: DataFrame, x: int, y: int, tolerance: int, contiguous: bool =
         line = Window.partitionBy("img", "y").orderBy("x")
         hit = rows.where("cover > 0").withColumn("_run", F.col("x") - F.row_number().over(line))
         runs = hit.groupBy("img", "y", "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-        runs = runs.withColumn("on", (F.col("y") == y) & F.lit(x).between(F.col("x0"), F.col("x1")))
-        runs, reached = keep(runs), -1
-        while (now := runs.where("on").count()) != reached:
-            reached = now
-            lit = runs.where("on").select("img", F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), F.col("x0").alias("_l"), F.col("x1").alias("_r"))
-            touched = runs.join(lit, ["img", "y"]).where("x0 <= _r AND x1 >= _l").select("img", "y", "_run").distinct().withColumn("_new", F.lit(True))
-            runs = runs.join(touched, ["img", "y", "_run"], "left").withColumn("on", F.col("on") | F.coalesce("_new", F.lit(False))).drop("_new")
-            runs = keep(runs)
-        lit = hit.join(runs.where("on").select("img", "y", "_run"), ["img", "y", "_run"], "left_semi").select("img", "x", "y", F.lit(255).alias("_on"))
+        runs = runs.repartitionByRange("img", "y", "x0").sortWithinPartitions("img", "y", "x0")
+        runs = keep(runs.withColumn("node", F.monotonically_increasing_id()))
+        below = runs.select("img", (F.col("y") - 1).alias("y"), F.col("x0").alias("_l"), F.col("x1").alias("_r"), F.col("node").alias("v"))
+        edges = runs.join(below, ["img", "y"]).where("x0 <= _r AND x1 >= _l").select(F.col("node").alias("u"), "v")
+        runs = runs.join(graph.components(edges, keep), "node", "left").withColumn("part", F.coalesce("component", "node"))
+        # One row an image.
+        first = runs.where((F.col("y") == y) & F.lit(x).between(F.col("x0"), F.col("x1"))).select("part")
+        reached = runs.join(F.broadcast(first), "part", "left_semi").select("img", "y", "_run")
+        lit = hit.join(reached, ["img", "y", "_run"], "left_semi").select("img", "x", "y", F.lit(255).alias("_on"))
         rows = rows.drop("cover").join(lit, ["img", "x", "y"], "left").select("img", "x", "y", F.coalesce("_on", F.lit(0)).alias("cover"))
     return _soft(rows) if smooth else rows
 

@@ -197,3 +197,14 @@ def test_warp_takes_alpha_and_places_that_stay(spark):
         mixed = [sum(v[k] * v[3] for v in near) / len(near) / alpha if alpha else 0 for k in range(3)]
         assert got == tuple(int(v + 0.5 + 1e-9) for v in (*mixed, alpha)), (x, y)
     assert len(out) == 30
+
+
+def test_flood_of_a_tall_image_takes_few_rounds(spark):
+    """A channel that winds down 80 rows, beside one that is apart from it."""
+    hit = lambda x, y: x == 6 or (x < 5 if y % 4 == 0 else x == (0 if y % 8 < 4 else 4))
+    rows = [(i, x, y, *([200 if hit(x, y) else 0] * 3)) for i in range(2) for x in range(7) for y in range(80)]
+    px = spark.createDataFrame(rows, "img int, x int, y int, r int, g int, b int")
+    rounds = []
+    keep = lambda table: (rounds.append(1), graph.kept(table))[1]
+    out = selection.magic_wand(px, 0, 0, 10, contiguous=True, keep=keep).where("cover > 0").collect()
+    assert {(r.img, r.x, r.y) for r in out} == {(i, x, y) for i, x, y, r, _, _ in rows if r and x < 6} and len(rounds) < 20
