@@ -33,8 +33,7 @@ def resample(lum: DataFrame, width: int, height: int) -> DataFrame:
 
     def cells(at, size, n):
         # Blocks [floor(k * size / n), max(that + 1, floor((k + 1) * size / n))) that hold the place.
-        low = F.floor(at * n / size) - 1
-        every = F.transform(F.sequence(F.lit(0), F.lit(n // 64 + 3)), lambda i: (low + i).cast("int"))
+        every = F.sequence((F.floor(at * n / size) - 1).cast("int"), F.ceil((at + 1) * n / size).cast("int"))
         first = lambda k: F.floor(k * size / n)
         return F.filter(every, lambda k: (k >= 0) & (k < n) & (first(k) <= at) & (at < F.greatest(first(k) + 1, F.least(size, first(k + 1)))))
 

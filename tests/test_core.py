@@ -208,3 +208,21 @@ def test_flood_of_a_tall_image_takes_few_rounds(spark):
     keep = lambda table: (rounds.append(1), graph.kept(table))[1]
     out = selection.magic_wand(px, 0, 0, 10, contiguous=True, keep=keep).where("cover > 0").collect()
     assert {(r.img, r.x, r.y) for r in out} == {(i, x, y) for i, x, y, r, _, _ in rows if r and x < 6} and len(rounds) < 20
+
+
+def test_block_means_of_small_and_tall_images(spark):
+    """Every block has a mean: of images smaller than the blocks are many, and of those taller than 200 places."""
+    sizes = {0: (1, 1), 1: (3, 2), 2: (7, 10), 3: (64, 11), 4: (2, 433)}
+    level = lambda i, x, y: (x * 37 + y * 91 + i) % 256
+    rows = [(i, x, y, level(i, x, y)) for i, (w, h) in sizes.items() for x in range(w) for y in range(h)]
+    lum = spark.createDataFrame(rows, "img int, x int, y int, lum int")
+    for n, m in ((9, 8), (32, 32)):
+        out = {(r.img, r.x, r.y): r.v for r in cull.resample(lum, n, m).collect()}
+        span = lambda k, size, n: range(k * size // n, max(k * size // n + 1, min(size, (k + 1) * size // n)))
+        expected = {}
+        for i, (w, h) in sizes.items():
+            for cx in range(n):
+                for cy in range(m):
+                    found = [level(i, x, y) for x in span(cx, w, n) for y in span(cy, h, m)]
+                    expected[(i, cx, cy)] = sum(found) / len(found)
+        assert out.keys() == expected.keys() and all(abs(out[k] - expected[k]) < 1e-9 for k in out)
