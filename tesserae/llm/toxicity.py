@@ -13,6 +13,7 @@ Letters of a word that stand apart are read as one token.
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 import zlib
@@ -336,6 +337,16 @@ def remainder(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
+def _fitted(batches):
+    """The machine of all rows (doc_id, text, toxic), pickled."""
+    texts, labels = [], []
+    for batch in batches:
+        texts.append(batch.column(1))
+        labels += batch.column(2).to_pylist()
+    model = fit((t.as_py() for part in texts for t in part), labels)
+    yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """Fits on a bounded sample, chosen by hash, of the labelled documents whose remainder is not 2."""
     labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(remainder(F.col("doc_id")) != 2)
@@ -346,8 +357,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     # A few thousand rows by construction.
     chosen = F.broadcast(labels.where(draw).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").where("text IS NOT NULL").select("doc_id", "text", "toxic")
-    rows = rows.orderBy("doc_id", "text").toArrow()
-    return fit((t.as_py() for t in rows.column("text")), rows.column("toxic").to_pylist())
+    # The fit is a task's: its texts and kernels would take hundreds of megabytes of the driver's memory.
+    made = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else None
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force and on the cases that each method is for."""
 
+import os
 import random
 import time
 
@@ -270,3 +271,16 @@ def test_line_bit_sets_rule_out_unlike_lines_only(spark):
         alike = jaccard(line_shingles(lines[r.k][0]), line_shingles(lines[r.k][1]))
         assert r.similar == alike and (r.possible or not alike)
     assert all(not r.possible for r in rows if r.k < 180 and r.k % 3 == 2)
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver's memory holds no training texts; rows come in order, none gives no machine."""
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: {"process": os.getpid(), "rows": list(zip(texts, labels))})
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(3, "another"), (5, None)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    used = {r.doc_id for r in docs.where(toxicity.remainder(F.col("doc_id")) != 2).select("doc_id").distinct().collect()}
+    expected = sorted([(i, f"text {i}") for i in used] + ([(3, "another")] if 3 in used else []))
+    assert model["process"] != os.getpid() and model["rows"] == [(t, i % 2) for i, t in expected]
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: None if not labels else 1)
+    assert toxicity.train(docs.where("false"), labels) is None
