@@ -284,3 +284,13 @@ def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
     assert model["process"] != os.getpid() and model["rows"] == [(t, i % 2) for i, t in expected]
     monkeypatch.setattr(toxicity, "fit", lambda texts, labels: None if not labels else 1)
     assert toxicity.train(docs.where("false"), labels) is None
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, setting = files(), spark.conf.get(scratch._CLEAN, None)
+    with scratch.scope() as own:
+        for _ in range(3):
+            table = own.table(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+        assert files() <= before and table.count() == 10
+    assert spark.conf.get(scratch._CLEAN, None) == setting
