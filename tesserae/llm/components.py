@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from . import scratch
 CELL = 2000
 #: Rounds of new centres at most; of the nodes that share a key across components, one in so many must gain a link for another one.
 ROUNDS, LEAST = 16, 100
+#: Edges whose components the driver finds by itself at most (16 bytes each); more of them take rounds of stars.
+DRIVER_EDGES = 500_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -62,23 +66,29 @@ def _cells(meet: DataFrame) -> DataFrame:
     rows = meet.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    return rows.select(cell.alias("cell"), "node", "part", "block", (F.col("block") == F.col("other")).alias("same"))
+    return rows.select(cell.alias("cell"), "key", "node", "part", "block", (F.col("block") == F.col("other")).alias("same"))
 
 
 def _named(marks: DataFrame, prefix: str) -> DataFrame:
     return marks.select(*[F.col(c).alias(f"{prefix}{c}") for c in marks.columns])
 
 
-def _crossing(meet: DataFrame, marks: DataFrame, slack, every: bool) -> DataFrame:
+def _crossing(meet: DataFrame, marks: DataFrame, slack, every: bool, few_keys: bool) -> DataFrame:
     """Pairs (u, v) of nodes of different parts that share a key and may be linked.
 
     Unless ``every``, of the nodes of a part that a node may be linked to only
     the likeliest: one link joins the two.
     """
+    if few_keys:
+        marks = marks.join(meet.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
     rows = _cells(meet).join(marks, "node")
     a, b = _named(rows, "a_"), _named(rows, "b_")
     left = slack("a_", "b_")
-    pairs = a.join(b, F.expr("a_cell = b_cell AND a_part < b_part AND (a_same OR a_block <> b_block)") & (left >= 0))
+    meeting = F.expr("a_cell = b_cell AND a_part < b_part AND (a_same OR a_block <> b_block)") & (left >= 0)
+    if few_keys:
+        # Nodes that share several keys are a pair in the first one only.
+        meeting &= F.expr("a_key = array_min(array_intersect(a_keys, b_keys))")
+    pairs = a.join(b, meeting)
     pairs = pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), F.col("b_part").alias("part"), left.alias("left"))
     if not every:
         # Aggregates of numbers: hashed, so the joined pairs are never sorted or stored.
@@ -86,13 +96,14 @@ def _crossing(meet: DataFrame, marks: DataFrame, slack, every: bool) -> DataFram
     return pairs.select("u", "v").distinct()
 
 
-def cluster(meet: DataFrame, marks: DataFrame, slack, verify) -> DataFrame:
+def cluster(meet: DataFrame, marks: DataFrame, slack, verify, few_keys: bool = False) -> DataFrame:
     """Memberships (key, node, centre) -> (node, component) of verified links.
 
     ``marks`` (node, ...) are small summaries of the nodes; ``slack(a, b)``
     gives, from the marks under two prefixes, a number that is negative only
     where two nodes can't be linked.  ``verify`` keeps the links of pairs
-    (u, v).
+    (u, v).  ``few_keys`` says that no node has more than a few dozen keys, so
+    that it can carry them along.
 
     Every node is verified against one centre, the likeliest by the marks of
     those that its keys have.  While that finds links, each key draws a new
@@ -133,7 +144,7 @@ def cluster(meet: DataFrame, marks: DataFrame, slack, verify) -> DataFrame:
             fresh = verify(pairs)
             links = links.unionByName(fresh)
         known = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        pairs = own.table(_crossing(meet, marks, slack, False), "pairs")
+        pairs = own.table(_crossing(meet, marks, slack, False, few_keys), "pairs")
         links = links.unionByName(verify(pairs.select("u", "v")))
         part = own.table(components(links), "parts")
         # Where the likeliest of several was none, the others are tried too.
@@ -144,11 +155,26 @@ def cluster(meet: DataFrame, marks: DataFrame, slack, verify) -> DataFrame:
             return own.keep(part)
         meet = own.table(_apart(meet, part), "meet")
         held = meet.join(rest.select(F.col("u").alias("node")), "node", "left_semi").select("key").distinct()
-        pairs = _crossing(meet.join(held, "key"), marks, slack, True).join(known, ["u", "v"], "left_anti")
+        pairs = _crossing(meet.join(held, "key"), marks, slack, True, few_keys).join(known, ["u", "v"], "left_anti")
         links = links.unionByName(verify(own.table(pairs, "pairs")))
         return own.keep(own.table(components(links), "parts"))
 
 
+def least_members(u, v):
+    """The nodes of edges (u[i], v[i]), ascending, and the least node that each reaches."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    least = np.arange(len(node))
+    while len(a):
+        # The root of the greater end takes the lesser one's; then each node points to its root again.
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (up := least[least]).tobytes() != least.tobytes():
+            least = up
+        a, b = least[a], least[b]
+        a, b = a[a != b], b[a != b]
+    return node, node[least]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) of longs -> (node, component); component is the least node.
 
@@ -160,6 +186,10 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     mark = _mark(edges)
+    if mark[0] <= DRIVER_EDGES:
+        found = edges.toArrow()
+        node, least = least_members(np.array(found["u"], np.int64), np.array(found["v"], np.int64))
+        return edges.sparkSession.createDataFrame(pa.table({"node": node, "component": least}))
     while mark[0]:
         grown = scratch.table(_star(_star(edges, True), False), "stars")
         scratch.drop(edges)

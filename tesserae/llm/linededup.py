@@ -59,24 +59,17 @@ def _starts(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """The set of a line's shingle hashes."""
-    # One character a byte, so that one expression finds them all.
-    raw = F.decode(line.cast("binary"), "ISO-8859-1")
-    found = F.regexp_extract_all(raw, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    found = F.when(F.octet_length(line) < SHINGLE, F.array(raw)).otherwise(found)
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
+    """A line's shingle hashes, with repeats."""
+    # The lambda's variable holds the bytes: a column's would be copied for each shingle.
+    each = lambda raw: F.transform(_starts(raw), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE))))
+    return F.transform(F.array(line.cast("binary")), each)[0]
 
 
 def similar(a: Column, b: Column) -> Column:
-    """Whether two lines' shingles have a Jaccard similarity of LIKE hundredths at least."""
-    # A one-element array holds both sets, so each is made once.
-    sets = F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b")))
-
-    def alike(s):
-        n = F.size(F.array_intersect(s["a"], s["b"]))
-        return 100 * n >= LIKE * (F.size(s["a"]) + F.size(s["b"]) - n)
-
-    return F.exists(sets, alike)
+    """Whether two lines' sets of shingles have a Jaccard similarity of LIKE hundredths at least."""
+    # A one-element array holds both lists, so each is made once.
+    lists = F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b")))
+    return F.exists(lists, lambda s: 100 * F.size(F.array_intersect(s["a"], s["b"])) >= LIKE * F.size(F.array_union(s["a"], s["b"])))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -87,7 +80,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def _hashes(lines: DataFrame) -> DataFrame:
     """(node, hash): the lines' shingles, one row each."""
-    each = lines.select("line_key", F.col("line").cast("binary").alias("raw"), F.explode(_starts(F.col("line"))).alias("i"))
+    # Cast in a step of its own, or the whole line is cast, and so copied, for each of its shingles.
+    raw = lines.select("line_key", F.col("line").cast("binary").alias("raw"))
+    each = raw.select("line_key", "raw", F.explode(_starts(F.col("raw"))).alias("i"))
     return each.select(F.col("line_key").alias("node"), F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("hash"))
 
 
@@ -107,9 +102,9 @@ def bit_sets(lines: DataFrame) -> DataFrame:
     """(node, b0, b1, ..., n) of distinct lines: a bit for each shingle's hash, and the number of shingles with repeats."""
     # The signature takes a hash's upper bits, the bit set its lower ones.
     each = _hashes(lines).select("node", F.expr("shiftleft(1L, CAST(hash & 63 AS INT))").alias("bit"), F.expr(f"shiftright(hash, 6) & {WORDS - 1}").alias("word"))
-    each = each.groupBy("node", "word").agg(F.bit_or("bit").alias("bit"), F.count("*").alias("n"))
     bits = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(WORDS)]
-    return each.groupBy("node").agg(*bits, F.sum("n").cast("int").alias("n"))
+    # A line is in one task, so what is left of it after the partial aggregate is one row.
+    return each.groupBy("node").agg(*bits, F.count("*").cast("int").alias("n"))
 
 
 def possible(a: str, b: str) -> Column:
@@ -155,7 +150,7 @@ def parts(lines: DataFrame) -> DataFrame:
         side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         texts = own.table(lines.select("line_key", "line").join(side, "line_key", "left_semi").dropDuplicates(["line_key"]), "lines")
         marks = own.table(marks.join(bit_sets(texts), "node"), "marks")
-        return own.keep(components.cluster(meet, marks, agreement, _verifier(texts)))
+        return own.keep(components.cluster(meet, marks, agreement, _verifier(texts), few_keys=True))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

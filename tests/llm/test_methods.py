@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests import oracle
-from tesserae.llm import langid, licenses, linededup, ngramjoin, scratch, toxicity
+from tesserae.llm import components, langid, licenses, linededup, ngramjoin, scratch, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -294,3 +294,37 @@ def test_scratch_tables_leave_no_shuffle_files(spark):
             table = own.table(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
         assert files() <= before and table.count() == 10
     assert spark.conf.get(scratch._CLEAN, None) == setting
+
+
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """The driver joins few edges by itself, as the rounds do; beyond its limit the rounds do."""
+    rng = random.Random(13)
+    edges = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)] + [(k, k + 1) for k in range(100, 140)] + [(None, 3), (500, 500)]
+    for rows in (edges, []):
+        table = spark.createDataFrame(rows, "u long, v long")
+        names, tables = [], scratch.table
+        monkeypatch.setattr(scratch, "table", lambda df, name: names.append(name) or tables(df, name))
+        got = sorted(map(tuple, components.components(table).collect()))
+        assert names == ["edges"] and components.components(table).dtypes == [("node", "bigint"), ("component", "bigint")]
+        monkeypatch.setattr(components, "DRIVER_EDGES", -1)
+        assert got == sorted(map(tuple, components.components(table).collect())) and (not rows or "stars" in names)
+        monkeypatch.undo()
+
+
+def test_a_long_line_is_not_copied_for_each_shingle(spark):
+    """The cast of a line stays below its shingles' rows, or each of them copies the whole line."""
+    long = spark.createDataFrame([(1, "".join(f"{i:x}," for i in range(260_000)))], "line_key long, line string")
+    began = time.time()
+    assert linededup.bit_sets(long).first().n > 1_400_000 and linededup.signatures(long).count() == 1
+    assert linededup._hashes(long)._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0].count("cast(line") == 0
+    assert time.time() - began < 30
+
+
+def test_nodes_that_share_keys_are_a_pair_once(spark):
+    keys = {1: [5, 6, 7], 2: [6, 7], 3: [7, 8], 4: [8, 9], 5: [9]}
+    meet = spark.createDataFrame([(k, n, n) for n, found in keys.items() for k in found], "key long, node long, part long")
+    marks = spark.createDataFrame([(n,) for n in keys], "node long")
+    pairs = components._crossing(meet, marks, lambda a, b: F.length(F.concat(f"{a}node", f"{b}node")), True, True)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min(array_intersect(" in plan
