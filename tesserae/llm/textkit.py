@@ -20,6 +20,8 @@ BASE = 0x9E3779B97F4A7C15
 STEP = 0xD6E8FEB86659FD93
 #: Bytes handled at once; a longer text is a chunk of its own.
 CHUNK = 1 << 21
+#: As for CHUNK, where a task makes shingle sets of whole batches: what it takes for a byte is some 60 bytes.
+SET_CHUNK = 1 << 19
 
 _random = np.random.default_rng(20240607)
 BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -42,7 +44,7 @@ def mix(x):
 def powers(n: int):
     """The first n powers of the base and of its inverse, modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, min(CHUNK, 2 * n) + 1)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             steps = np.full(size, U(base))
             steps[0] = U(1)
@@ -135,7 +137,7 @@ def distinct(values):
 
 def shingle_sets(column, k: int = 5):
     """Sorted distinct shingle hashes of each row of an Arrow string column, row by row."""
-    for _, _, data, at in chunks(column):
+    for _, _, data, at in chunks(column, SET_CHUNK):
         _, _, hashes, first = words(data, at)
         found, at = shingles(hashes, first, k)
         for a, b in zip(at[:-1], at[1:]):

@@ -3,14 +3,16 @@
 import os
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests import oracle
-from tesserae.llm import components, langid, licenses, linededup, ngramjoin, scratch, toxicity
+from tesserae.llm import components, langid, licenses, linededup, ngramjoin, scratch, textkit, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -328,3 +330,16 @@ def test_nodes_that_share_keys_are_a_pair_once(spark):
     assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5)]
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "array_min(array_intersect(" in plan
+
+
+def test_shingle_sets_take_bounded_memory(monkeypatch):
+    """Of a batch of 6 MB a task holds what it takes for half a megabyte at once; a longer text is still read whole."""
+    texts = [" ".join(f"w{(k * 7919 + i) % 65536}" for i in range(300)) for k in range(3000)]
+    monkeypatch.setattr(textkit, "_powers", {})
+    column = pa.array(texts)
+    tracemalloc.start()
+    sizes = [len(found) for found in textkit.shingle_sets(column)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [296] * 3000 and peak < 60e6
+    assert len(next(textkit.shingle_sets(pa.array([" ".join(f"w{i}" for i in range(200_000))])))) == 199_996
