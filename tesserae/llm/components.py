@@ -13,6 +13,8 @@ from . import scratch
 CELL = 2000
 #: Rounds of new centres at most; of the nodes that share a key across components, one in so many must gain a link for another one.
 ROUNDS, LEAST = 16, 100
+#: Pairs that share keys across components, counted for each key, that are compared without further rounds.
+FEW_PAIRS = 200_000
 #: Edges whose components the driver finds by itself at most (16 bytes each); more of them take rounds of stars.
 DRIVER_EDGES = 500_000
 
@@ -60,6 +62,14 @@ def _apart(meet: DataFrame, part: DataFrame) -> DataFrame:
     return _once(placed.withColumn("centre", F.col("part")).join(split.select("key"), "key")).withColumnRenamed("centre", "part")
 
 
+def _few(meet: DataFrame) -> bool:
+    """Whether the nodes of all keys are FEW_PAIRS pairs at most."""
+    if meet.count() > FEW_PAIRS:
+        return False
+    n = F.col("count").cast("double")
+    return (meet.groupBy("key").count().agg(F.sum(n * n)).first()[0] or 0) <= 2 * FEW_PAIRS
+
+
 def _cells(meet: DataFrame) -> DataFrame:
     """Memberships dealt out to cells: a key's blocks i and j meet in one cell, so a cell holds about two blocks of CELL nodes."""
     sizes = meet.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
@@ -109,7 +119,7 @@ def cluster(meet: DataFrame, marks: DataFrame, slack, verify, few_keys: bool = F
     those that its keys have.  While that finds links, each key draws a new
     centre, and every node outside its component is verified against one
     again; so a group of copies grows together in a few rounds, each as large
-    as the memberships.  For
+    as the memberships; few pairs need no rounds.  For
     what then still shares a key across components, the marks of each pair are
     compared, in cells of bounded size, and those that may be linked verified:
     first the likeliest of each node and component, then all that are left.
@@ -132,6 +142,8 @@ def cluster(meet: DataFrame, marks: DataFrame, slack, verify, few_keys: bool = F
             apart = own.table(_apart(meet, part), "meet")
             own.drop(meet)
             meet = apart
+            if _few(meet):
+                break
             nodes = meet.agg(F.approx_count_distinct("node")).first()[0]
             if turn == ROUNDS or turn and fresh.count() * LEAST < nodes:
                 break

@@ -343,3 +343,21 @@ def test_shingle_sets_take_bounded_memory(monkeypatch):
     tracemalloc.stop()
     assert sizes == [296] * 3000 and peak < 60e6
     assert len(next(textkit.shingle_sets(pa.array([" ".join(f"w{i}" for i in range(200_000))])))) == 199_996
+
+
+def test_few_pairs_need_no_rounds(spark, monkeypatch):
+    """Nodes (ten to a group, linked in a chain) end in the same components with and without rounds."""
+    keys = spark.range(60).selectExpr("explode(array(id div 10, 100 + id div 7)) AS key", "id AS node")
+    least = keys.groupBy("key").agg(F.min("node").alias("centre"))
+    verify = lambda pairs: scratch.table(pairs.where("abs(u - v) = 1 AND u div 10 = v div 10"), "links")
+    marks = spark.range(60).selectExpr("id AS node")
+    slack = lambda a, b: F.lit(2) - F.abs(F.col(f"{a}node") - F.col(f"{b}node"))
+    counts, got = [], []
+    for few in (200_000, -1):
+        names, tables = [], scratch.table
+        monkeypatch.setattr(components, "FEW_PAIRS", few)
+        monkeypatch.setattr(scratch.scope, "table", staticmethod(lambda df, name: names.append(name) or tables(df, name)))
+        got.append(sorted(map(tuple, components.cluster(keys.join(least, "key"), marks, slack, verify).collect())))
+        counts.append(len(names))
+        monkeypatch.undo()
+    assert got[0] == got[1] == [(k, k // 10 * 10) for k in range(60)] and counts[0] < counts[1]
