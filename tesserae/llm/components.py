@@ -83,7 +83,7 @@ def _named(marks: DataFrame, prefix: str) -> DataFrame:
     return marks.select(*[F.col(c).alias(f"{prefix}{c}") for c in marks.columns])
 
 
-def _crossing(meet: DataFrame, marks: DataFrame, slack, every: bool, few_keys: bool) -> DataFrame:
+def _crossing(meet: DataFrame, marks: DataFrame, slack, every: bool, few_keys: bool, quick=None) -> DataFrame:
     """Pairs (u, v) of nodes of different parts that share a key and may be linked.
 
     Unless ``every``, of the nodes of a part that a node may be linked to only
@@ -94,10 +94,13 @@ def _crossing(meet: DataFrame, marks: DataFrame, slack, every: bool, few_keys: b
     rows = _cells(meet).join(marks, "node")
     a, b = _named(rows, "a_"), _named(rows, "b_")
     left = slack("a_", "b_")
-    meeting = F.expr("a_cell = b_cell AND a_part < b_part AND (a_same OR a_block <> b_block)") & (left >= 0)
+    meeting = F.expr("a_cell = b_cell AND a_part < b_part AND (a_same OR a_block <> b_block)")
+    if quick is not None:
+        meeting &= quick("a_", "b_")
     if few_keys:
-        # Nodes that share several keys are a pair in the first one only.
+        # Nodes that share several keys are a pair in the first one only, before all their marks are compared.
         meeting &= F.expr("a_key = array_min(array_intersect(a_keys, b_keys))")
+    meeting &= left >= 0
     pairs = a.join(b, meeting)
     pairs = pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), F.col("b_part").alias("part"), left.alias("left"))
     if not every:
@@ -106,14 +109,16 @@ def _crossing(meet: DataFrame, marks: DataFrame, slack, every: bool, few_keys: b
     return pairs.select("u", "v").distinct()
 
 
-def cluster(meet: DataFrame, marks: DataFrame, slack, verify, few_keys: bool = False) -> DataFrame:
+def cluster(meet: DataFrame, marks: DataFrame, slack, verify, few_keys: bool = False, sharper=None) -> DataFrame:
     """Memberships (key, node, centre) -> (node, component) of verified links.
 
     ``marks`` (node, ...) are small summaries of the nodes; ``slack(a, b)``
     gives, from the marks under two prefixes, a number that is negative only
     where two nodes can't be linked.  ``verify`` keeps the links of pairs
     (u, v).  ``few_keys`` says that no node has more than a few dozen keys, so
-    that it can carry them along.
+    that it can carry them along.  ``sharper(nodes)`` gives marks and a slack that
+    tell more, for the nodes that are compared pair by pair, and a condition that
+    is quick to tell and holds wherever that slack is not negative.
 
     Every node is verified against one centre, the likeliest by the marks of
     those that its keys have.  While that finds links, each key draws a new
@@ -156,7 +161,11 @@ def cluster(meet: DataFrame, marks: DataFrame, slack, verify, few_keys: bool = F
             fresh = verify(pairs)
             links = links.unionByName(fresh)
         known = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        pairs = own.table(_crossing(meet, marks, slack, False, few_keys), "pairs")
+        quick = None
+        if sharper is not None:
+            marks, slack, quick = sharper(meet.select("node").distinct())
+            marks = own.table(marks, "sharp")
+        pairs = own.table(_crossing(meet, marks, slack, False, few_keys, quick), "pairs")
         links = links.unionByName(verify(pairs.select("u", "v")))
         part = own.table(components(links), "parts")
         # Where the likeliest of several was none, the others are tried too.
@@ -167,7 +176,7 @@ def cluster(meet: DataFrame, marks: DataFrame, slack, verify, few_keys: bool = F
             return own.keep(part)
         meet = own.table(_apart(meet, part), "meet")
         held = meet.join(rest.select(F.col("u").alias("node")), "node", "left_semi").select("key").distinct()
-        pairs = _crossing(meet.join(held, "key"), marks, slack, True, few_keys).join(known, ["u", "v"], "left_anti")
+        pairs = _crossing(meet.join(held, "key"), marks, slack, True, few_keys, quick).join(known, ["u", "v"], "left_anti")
         links = links.unionByName(verify(own.table(pairs, "pairs")))
         return own.keep(own.table(components(links), "parts"))
 

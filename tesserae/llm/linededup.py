@@ -12,6 +12,7 @@ union-find.  Of each component's lines the first stays.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ AGREE = 9
 LIKE = 80
 #: Words of 64 bits in a line's bit set, a power of two: each shingle sets one bit.
 WORDS = 16
+#: The same for lines that are compared pair by pair, where many are only a little less alike than LIKE.
+SHARP_WORDS = 64
 #: Hashes of candidate lines that are broadcast at most (8 bytes each); beyond it, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -98,15 +101,21 @@ def signatures(lines: DataFrame) -> DataFrame:
     return sig.select("node", *[F.shiftright(f"m{k}", 17).cast("int").alias(f"m{k}") for k in range(ORDERS)])
 
 
-def bit_sets(lines: DataFrame) -> DataFrame:
+def bit_sets(lines: DataFrame, words: int = WORDS) -> DataFrame:
     """(node, b0, b1, ..., n) of distinct lines: a bit for each shingle's hash, and the number of shingles with repeats."""
     # The signature takes a hash's upper bits, the bit set its lower ones.
-    each = _hashes(lines).select("node", F.expr("shiftleft(1L, CAST(hash & 63 AS INT))").alias("bit"), F.expr(f"shiftright(hash, 6) & {WORDS - 1}").alias("word"))
-    bits = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(WORDS)]
+    each = _hashes(lines).select("node", F.expr("shiftleft(1L, CAST(hash & 63 AS INT))").alias("bit"), F.expr(f"shiftright(hash, 6) & {words - 1}").alias("word"))
+    bits = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(words)]
     # A line is in one task, so what is left of it after the partial aggregate is one row.
     return each.groupBy("node").agg(*bits, F.count("*").cast("int").alias("n"))
 
 
+def sharp_sets(lines: DataFrame) -> DataFrame:
+    """As ``bit_sets``, with SHARP_WORDS words, and n the number of distinct shingles."""
+    distinct = lines.select(F.col("line_key").alias("node"), F.size(F.array_distinct(shingles(F.col("line")))).alias("n"))
+    return bit_sets(lines, SHARP_WORDS).drop("n").join(distinct, "node")
+
+
 def possible(a: str, b: str) -> Column:
     """Whether two lines can be similar by their bit sets, which tell that some shingles are in one only: it never denies a similar pair."""
     alone = lambda x, y: sum((F.bit_count(F.col(f"{x}b{k}").bitwiseAND(F.bitwise_not(f"{y}b{k}"))) for k in range(WORDS)), F.lit(0))
@@ -116,6 +125,23 @@ def possible(a: str, b: str) -> Column:
     return F.exists(counts, lambda s: (100 - LIKE) * common(s) >= LIKE * (s["a"] + s["b"]))
 
 
+def packed(marks: DataFrame) -> DataFrame:
+    """The marks with s0 and s1: the lowest byte of each place of the signature, eight to a word."""
+    word = lambda ks: reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{k}").cast("long").bitwiseAND(F.lit(255)), 8 * (k % 8)) for k in ks])
+    return marks.withColumns({f"s{i}": word(range(8 * i, 8 * i + 8)) for i in range(ORDERS // 8)})
+
+
+def quick(a: str, b: str) -> Column:
+    """Whether the signatures' lowest bytes agree in AGREE places at least, as those of candidates do."""
+    differ = F.lit(0).cast("long")
+    for i in range(ORDERS // 8):
+        bits = F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))
+        for n in (4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, n))
+        differ = differ.bitwiseOR(F.shiftleft(bits.bitwiseAND(F.lit(0x0101010101010101)), i))
+    return F.bit_count(differ) <= ORDERS - AGREE
+
+
 def agreement(a: str, b: str) -> Column:
     """Places in which two signatures agree, beyond those that they must; -1 where the lines can't be similar."""
     same = [(F.col(f"{a}m{k}") == F.col(f"{b}m{k}")).cast("int") for k in range(ORDERS)]
@@ -123,6 +149,16 @@ def agreement(a: str, b: str) -> Column:
     return F.when((left >= 0) & possible(a, b), left).otherwise(-1)
 
 
+def sharp_agreement(a: str, b: str) -> Column:
+    """As ``agreement``, by ``sharp_sets``: as many shingles at least are in one line only as their bit sets differ in."""
+    # No lambda, whose arguments would not be compiled; bits and doubles, as sums of integers are checked for overflow.
+    same = [F.shiftleft((F.col(f"{a}m{k}") == F.col(f"{b}m{k}")).cast("int"), k) for k in range(ORDERS)]
+    left = F.bit_count(reduce(Column.bitwiseOR, same)) - AGREE
+    apart = [F.bit_count(F.col(f"{a}b{k}").bitwiseXOR(F.col(f"{b}b{k}"))).cast("double") for k in range(SHARP_WORDS)]
+    like = F.lit(100.0 - LIKE) * (F.col(f"{a}n") + F.col(f"{b}n")) >= F.lit(100.0 + LIKE) * sum(apart[1:], apart[0])
+    return F.when((left >= 0) & like, left).otherwise(-1)
+
+
 def _verifier(texts: DataFrame):
     """Checks pairs of candidate lines by their exact similarity."""
 
@@ -143,14 +179,21 @@ def parts(lines: DataFrame) -> DataFrame:
         # Both sides of the join read one exchange.
         keyed = marks.select("node", F.explode(F.array(*keys)).alias("key")).repartition("key")
         groups = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("high"))
-        meet = keyed.join(groups.where("centre < high").select("key", "centre"), "key")
+        # The few shared keys are hashed, so the memberships of all lines need no sort.
+        meet = keyed.join(groups.where("centre < high").select("key", "centre").hint("shuffle_hash"), "key")
         meet = own.table(meet.select("key", "node", "centre"), "meet")
         # Lines that share a key are stored once, for all rounds.
         wanted = own.table(meet.select(F.col("node").alias("line_key")).distinct(), "candidates")
         side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         texts = own.table(lines.select("line_key", "line").join(side, "line_key", "left_semi").dropDuplicates(["line_key"]), "lines")
+        signed = marks
         marks = own.table(marks.join(bit_sets(texts), "node"), "marks")
-        return own.keep(components.cluster(meet, marks, agreement, _verifier(texts), few_keys=True))
+
+        def sharper(nodes):
+            compared = texts.join(nodes.withColumnRenamed("node", "line_key"), "line_key", "left_semi")
+            return packed(signed.join(sharp_sets(compared), "node")), sharp_agreement, quick
+
+        return own.keep(components.cluster(meet, marks, agreement, _verifier(texts), few_keys=True, sharper=sharper))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -361,3 +361,43 @@ def test_few_pairs_need_no_rounds(spark, monkeypatch):
         counts.append(len(names))
         monkeypatch.undo()
     assert got[0] == got[1] == [(k, k // 10 * 10) for k in range(60)] and counts[0] < counts[1]
+
+
+def test_sharp_sets_never_rule_out_similar_lines(spark):
+    rng = random.Random(21)
+    pairs = []
+    for k in range(150):
+        words = ["".join(rng.choice("abcdeno") for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(8, 160))]
+        other = [w if rng.random() > (k % 10) / 50 else "zq" + w[::-1] for w in words]
+        pairs.append((" ".join(words * (1 + k % 3)), " ".join(other * (1 + k % 2))))
+    texts = spark.createDataFrame([(k, s, x) for k, p in enumerate(pairs) for s, x in zip("ab", p)], "k int, side string, line string").withColumn("line_key", F.xxhash64("line"))
+    distinct = texts.dropDuplicates(["line_key"])
+    both = texts.join(linededup.packed(linededup.signatures(distinct).join(linededup.sharp_sets(distinct), "node")).withColumnRenamed("node", "line_key"), "line_key")
+    side = lambda s: both.where(F.col("side") == s).select("k", *[F.col(c).alias(f"{s}_{c}") for c in both.columns if c not in ("k", "side")])
+    found = {r.k: r for r in side("a").join(side("b"), "k").select("k", linededup.sharp_agreement("a_", "b_").alias("left"), linededup.quick("a_", "b_").alias("quick"), *[F.col(f"{s}_{c}{i}") for s in "ab" for c in "m" for i in range(linededup.ORDERS)], "a_n").collect()}
+    denied = 0
+    for k, (a, b) in enumerate(pairs):
+        sets, r = [line_shingles(x) for x in (a, b)], found[k]
+        same = sum(r[f"a_m{i}"] == r[f"b_m{i}"] for i in range(linededup.ORDERS))
+        assert r.a_n == len(sets[0]) and (r.quick or same < linededup.AGREE) and (r.left in (-1, same - linededup.AGREE))
+        assert not jaccard(*sets) or same < linededup.AGREE or r.left >= 0
+        denied += same >= linededup.AGREE and r.left < 0
+    assert denied >= 10 and sum(r.left >= 0 for r in found.values()) >= 30
+
+
+def test_lines_a_little_too_unlike_are_not_verified(spark, monkeypatch):
+    """Many long lines that share keys at similarities around 0.7: their marks rule nearly all pairs out."""
+    rng = random.Random(22)
+    base = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(90)]
+    lines = []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(90), 5):
+            words[at] = "".join(rng.choice("nopqrstuvwxyz") for _ in range(6))
+        lines.append(" ".join(words))
+    verified, verifier = [], linededup._verifier
+    monkeypatch.setattr(linededup, "_verifier", lambda texts: (lambda check: lambda pairs: verified.append(pairs.count()) or check(pairs))(verifier(texts)))
+    table = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("line_key", F.xxhash64("line"))
+    found = {r.node for r in linededup.parts(table).collect()}
+    links = [(a, b) for a in range(60) for b in range(a) if jaccard(line_shingles(lines[a]), line_shingles(lines[b]))]
+    assert len(found) <= len({x for p in links for x in p}) and sum(verified) <= 3 * len(links) + 200, (verified, len(links))
