@@ -3,9 +3,9 @@
 A line's shingles are its substrings of SHINGLE bytes.  ORDERS multipliers give
 as many orders of their hashes, and a line's signature is the least value in
 each.  Each of BANDS names ROWS places of the signature: lines that agree in
-all of them share a key.  Lines that share a key are candidates; those whose
-signatures agree in AGREE places at least, and whose bit sets of shingles don't
-rule it out, are verified by their exact Jaccard similarity and joined by
+all of them share a key.  Lines that share a key, and with it AGREE places of
+their signatures at least, are candidates; those whose bit sets of shingles
+don't rule it out are verified by their exact Jaccard similarity and joined by
 union-find.  Of each component's lines the first stays.
 """
 
@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import components, scratch
 
@@ -29,8 +30,12 @@ AGREE = 9
 LIKE = 80
 #: Words of 64 bits in a line's bit set, a power of two: each shingle sets one bit.
 WORDS = 16
-#: The same for lines that are compared pair by pair, where many are only a little less alike than LIKE.
-SHARP_WORDS = 64
+#: The same for lines that are compared pair by pair, where many are only a little less alike than LIKE: each distinct shingle turns one bit over.
+SHARP_WORDS = 32
+#: Bands whose keys are shuffled at once (32 bytes a line and band).
+AT_ONCE = 2
+#: Nodes of a key at most among which those without a partner are looked for; a key of more keeps all.
+SMALL_KEY = 64
 #: Hashes of candidate lines that are broadcast at most (8 bytes each); beyond it, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -101,19 +106,27 @@ def signatures(lines: DataFrame) -> DataFrame:
     return sig.select("node", *[F.shiftright(f"m{k}", 17).cast("int").alias(f"m{k}") for k in range(ORDERS)])
 
 
-def bit_sets(lines: DataFrame, words: int = WORDS) -> DataFrame:
+def bit_sets(lines: DataFrame) -> DataFrame:
     """(node, b0, b1, ..., n) of distinct lines: a bit for each shingle's hash, and the number of shingles with repeats."""
-    # The signature takes a hash's upper bits, the bit set its lower ones.
-    each = _hashes(lines).select("node", F.expr("shiftleft(1L, CAST(hash & 63 AS INT))").alias("bit"), F.expr(f"shiftright(hash, 6) & {words - 1}").alias("word"))
-    bits = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(words)]
     # A line is in one task, so what is left of it after the partial aggregate is one row.
-    return each.groupBy("node").agg(*bits, F.count("*").cast("int").alias("n"))
+    return _words(_hashes(lines), F.bit_or, WORDS)
 
 
 def sharp_sets(lines: DataFrame) -> DataFrame:
-    """As ``bit_sets``, with SHARP_WORDS words, and n the number of distinct shingles."""
-    distinct = lines.select(F.col("line_key").alias("node"), F.size(F.array_distinct(shingles(F.col("line")))).alias("n"))
-    return bit_sets(lines, SHARP_WORDS).drop("n").join(distinct, "node")
+    """As ``bit_sets``, with SHARP_WORDS words, a bit set where an odd number of distinct shingles has it, and n their number.
+
+    Where two such sets differ, one of the shingles that only one line has is
+    behind it, however many they share: a quarter of the words tells as much.
+    """
+    return _words(lines.select(F.col("line_key").alias("node"), F.explode(F.array_distinct(shingles(F.col("line")))).alias("hash")), F.bit_xor, SHARP_WORDS)
+
+
+def _words(hashes: DataFrame, fold, words: int) -> DataFrame:
+    """(node, b0, b1, ..., n): the bits of each node's hashes, folded, and their number."""
+    # The signature takes a hash's upper bits, the bit set its lower ones.
+    each = hashes.select("node", F.expr("shiftleft(1L, CAST(hash & 63 AS INT))").alias("bit"), F.expr(f"shiftright(hash, 6) & {words - 1}").alias("word"))
+    bits = [fold(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(words)]
+    return each.groupBy("node").agg(*bits, F.count("*").cast("int").alias("n"))
 
 
 def possible(a: str, b: str) -> Column:
@@ -171,27 +184,43 @@ def _verifier(texts: DataFrame):
     return verify
 
 
+def shared_keys(marks: DataFrame, bands: list[int]) -> DataFrame:
+    """(key, node, centre) of the bands' keys, for nodes that agree with another one of the key in AGREE places; centre is the key's least.
+
+    Most nodes that share a key agree in little more than its own places, the
+    more so the larger the table is.  Of a key of more than SMALL_KEY nodes all stay.
+    """
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in PLACES[b]]) for b in bands]
+    # All sides of the joins read one exchange.
+    keyed = packed(marks).select("node", *[f"s{i}" for i in range(ORDERS // 8)], F.explode(F.array(*keys)).alias("key")).repartition("key")
+    groups = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
+    # The few shared keys are hashed, so the memberships of all lines need no sort.
+    meet = keyed.join(groups.where("low < high").select("key", "size").hint("shuffle_hash"), "key")
+    a, b = (meet.select(*[F.col(c).alias(f"{s}_{c}") for c in meet.columns]) for s in "ab")
+    partner = F.expr("a_key = b_key") & (F.expr(f"a_size > {SMALL_KEY}") | (F.expr("a_node <> b_node") & quick("a_", "b_")))
+    held = a.join(b.hint("merge"), partner, "left_semi").select(F.col("a_key").alias("key"), F.col("a_node").alias("node"))
+    return held.withColumn("centre", F.min("node").over(Window.partitionBy("key")))
+
+
 def parts(lines: DataFrame) -> DataFrame:
     """(node, component) of the lines, by line_key, that have a similar other one."""
     with scratch.scope() as own:
-        marks = own.table(signatures(lines), "signatures")
-        keys = [F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in places]) for b, places in enumerate(PLACES)]
-        # Both sides of the join read one exchange.
-        keyed = marks.select("node", F.explode(F.array(*keys)).alias("key")).repartition("key")
-        groups = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("high"))
-        # The few shared keys are hashed, so the memberships of all lines need no sort.
-        meet = keyed.join(groups.where("centre < high").select("key", "centre").hint("shuffle_hash"), "key")
-        meet = own.table(meet.select("key", "node", "centre"), "meet")
-        # Lines that share a key are stored once, for all rounds.
+        signed = own.table(signatures(lines), "signatures")
+        # A few bands after the other, or the keys of all lines are the most that is on disk.
+        meets = [own.table(shared_keys(signed, list(range(b, min(b + AT_ONCE, BANDS)))), "meet") for b in range(0, BANDS, AT_ONCE)]
+        meet = reduce(DataFrame.unionByName, meets)
+        # Candidates are stored once, for all rounds.
         wanted = own.table(meet.select(F.col("node").alias("line_key")).distinct(), "candidates")
         side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         texts = own.table(lines.select("line_key", "line").join(side, "line_key", "left_semi").dropDuplicates(["line_key"]), "lines")
-        signed = marks
-        marks = own.table(marks.join(bit_sets(texts), "node"), "marks")
+        held = signed.join(side.withColumnRenamed("line_key", "node"), "node", "left_semi")
+        marks = own.table(held.join(bit_sets(texts), "node"), "marks")
+        own.drop(signed)
 
         def sharper(nodes):
             compared = texts.join(nodes.withColumnRenamed("node", "line_key"), "line_key", "left_semi")
-            return packed(signed.join(sharp_sets(compared), "node")), sharp_agreement, quick
+            signs = marks.select("node", *[f"m{k}" for k in range(ORDERS)])
+            return packed(signs.join(sharp_sets(compared), "node")), sharp_agreement, quick
 
         return own.keep(components.cluster(meet, marks, agreement, _verifier(texts), few_keys=True, sharper=sharper))
 

@@ -401,3 +401,72 @@ def test_lines_a_little_too_unlike_are_not_verified(spark, monkeypatch):
     found = {r.node for r in linededup.parts(table).collect()}
     links = [(a, b) for a in range(60) for b in range(a) if jaccard(line_shingles(lines[a]), line_shingles(lines[b]))]
     assert len(found) <= len({x for p in links for x in p}) and sum(verified) <= 3 * len(links) + 200, (verified, len(links))
+
+
+def test_lines_without_a_partner_are_no_candidates(spark, monkeypatch):
+    """Lines that share keys and little else: neither their texts nor their marks are stored."""
+    rng = random.Random(31)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    lines = []
+    for _ in range(40):
+        base = [word("abcdefghijklm") for _ in range(60)]
+        lines += [" ".join(w if rng.random() < 0.74 else word("nopqrstuvwxyz") for w in base) for _ in range(8)]
+    stored, tables = {}, scratch.table
+
+    def counted(df, name):
+        out = tables(df, name)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(scratch.scope, "table", staticmethod(counted))
+    table = spark.createDataFrame([(x,) for x in lines + [lines[0] + "!"]], "line string").withColumn("line_key", F.xxhash64("line"))
+    found = {r.node for r in linededup.parts(table).collect()}
+    assert len(found) >= 2 and len(found) <= stored["lines"] <= 60, stored
+
+
+def test_shared_keys_lose_no_candidate(spark, monkeypatch):
+    """Against brute force: a key keeps its nodes that agree with another one in AGREE places; a large key keeps all."""
+    rng = random.Random(32)
+    rows = []
+    for g in range(60):
+        base = [rng.randrange(1 << 30) for _ in range(linededup.ORDERS)]
+        for _ in range(2 + g % 5):
+            # The lowest byte of a place tells whether it agrees.
+            rows.append([len(rows)] + [v if rng.random() < 0.7 else (v ^ (1 + rng.randrange(255))) for v in base])
+    table = spark.createDataFrame(rows, ", ".join(["node long", *[f"m{k} int" for k in range(linededup.ORDERS)]]))
+    pruned = 0
+    for small in (64, 2):
+        monkeypatch.setattr(linededup, "SMALL_KEY", small)
+        got = {}
+        for b, places in enumerate(linededup.PLACES):
+            for r in linededup.shared_keys(table, [b]).collect():
+                got.setdefault((b, r.key), []).append((r.node, r.centre))
+        expected = []
+        for b, places in enumerate(linededup.PLACES):
+            keys = {}
+            for node, *m in rows:
+                keys.setdefault(tuple(m[k] for k in places), []).append((node, m))
+            for nodes in keys.values():
+                agree = lambda x, y: sum(p == q for p, q in zip(x, y)) >= linededup.AGREE
+                held = sorted(n for n, m in nodes if len(nodes) > 1 and (len(nodes) > small or any(n != o and agree(m, w) for o, w in nodes)))
+                pruned += len(nodes) > 1 and len(held) < len(nodes)
+                if held:
+                    expected.append((b, held))
+        assert sorted((b, sorted(n for n, _ in held)) for (b, _), held in got.items()) == sorted(expected)
+        assert all({c for _, c in held} == {min(n for n, _ in held)} for held in got.values())
+    assert pruned >= 10 and len(expected) >= 50
+
+
+def test_sharp_sets_tell_more_in_fewer_words(spark):
+    """At similarity 0.7 sets of 32 words differ in nearly as many bits as the lines have shingles of their own."""
+    rng = random.Random(33)
+    base = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(90)]
+    words = list(base)
+    for at in range(2, 90, 10):
+        words[at] = "".join(rng.choice("nopqrstuvwxyz") for _ in range(6))
+    lines = [" ".join(base), " ".join(words)]
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "line_key long, line string")
+    a, b = sorted(linededup.sharp_sets(table).collect(), key=lambda r: r.node)
+    words = [c for c in a.asDict() if c.startswith("b")]
+    apart, real = sum(((a[c] ^ b[c]) & (2**64 - 1)).bit_count() for c in words), len(line_shingles(lines[0]) ^ line_shingles(lines[1]))
+    assert len(words) <= 32 and 0.85 * real <= apart <= real and [a.n, b.n] == [len(line_shingles(x)) for x in lines]
