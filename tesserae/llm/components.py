@@ -96,7 +96,8 @@ def _crossing(meet: DataFrame, marks: DataFrame, slack, every: bool, few_keys: b
     left = slack("a_", "b_")
     meeting = F.expr("a_cell = b_cell AND a_part < b_part AND (a_same OR a_block <> b_block)")
     if quick is not None:
-        meeting &= quick("a_", "b_")
+        # The first two always hold: with them both sides need the same columns, and so read one exchange.
+        meeting &= F.expr("a_key = b_key AND a_same = b_same") & quick("a_", "b_")
     if few_keys:
         # Nodes that share several keys are a pair in the first one only, before all their marks are compared.
         meeting &= F.expr("a_key = array_min(array_intersect(a_keys, b_keys))")

@@ -470,3 +470,24 @@ def test_sharp_sets_tell_more_in_fewer_words(spark):
     words = [c for c in a.asDict() if c.startswith("b")]
     apart, real = sum(((a[c] ^ b[c]) & (2**64 - 1)).bit_count() for c in words), len(line_shingles(lines[0]) ^ line_shingles(lines[1]))
     assert len(words) <= 32 and 0.85 * real <= apart <= real and [a.n, b.n] == [len(line_shingles(x)) for x in lines]
+
+
+def test_marks_compared_pair_by_pair_are_shuffled_once(spark, monkeypatch):
+    """Both sides of the join read one exchange; a large key's cells lose no pair."""
+    monkeypatch.setattr(components, "CELL", 3)
+    rows = [(k, n, n // 2) for k in range(3) for n in range(k * 5, 12 + k)]
+    meet = spark.createDataFrame(rows, "key long, node long, part long")
+    marks = spark.range(20).selectExpr("id AS node", "id + 7 AS m")
+    near = lambda a, b: F.lit(4) - F.abs(F.col(f"{a}node") - F.col(f"{b}node"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = components._crossing(meet, marks, lambda a, b: F.when(F.col(f"{a}m") + F.col(f"{b}m") < 0, -1).otherwise(near(a, b)), True, True, lambda a, b: near(a, b) >= 0)
+        got = sorted(map(tuple, pairs.collect()))
+        plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    held = {k: {n for key, n, _ in rows if key == k} for k in range(3)}
+    assert got == sorted({(u, v) for ns in held.values() for u in ns for v in ns if u // 2 < v // 2 and v - u <= 4})
+    made = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and "cell" in line]
+    assert len([line for line in made if "ReusedExchange" not in line]) == 1 and "ReusedExchange" in plan, made
